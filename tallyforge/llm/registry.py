@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, reputation, secrets, sharding
 
 QUERIES = {
+    "op1_tokeniser_fertility": quality.op1_tokeniser_fertility,
+    "op6_host_reputation": reputation.op6_host_reputation,
     "op7_extendible_sharding": sharding.op7_extendible_sharding,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_trigram_secrets": secrets.op10_trigram_secrets,
 }
 SQL = {
+    "op6_host_reputation": reputation.OP6_SQL,
     "op7_extendible_sharding": sharding.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
