@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, reputation, secrets, sharding
+from . import mixing, packing, quality, reputation, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_tokeniser_fertility": quality.op1_tokeniser_fertility,
+    "op2_bound_certified_packing": packing.op2_bound_certified_packing,
+    "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op6_host_reputation": reputation.op6_host_reputation,
     "op7_extendible_sharding": sharding.op7_extendible_sharding,
     "op8_mix_sources": mixing.op8_mix_sources,
