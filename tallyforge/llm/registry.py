@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, reputation, secrets, sharding, toxicity
+from . import linededup, mixing, packing, quality, reputation, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_tokeniser_fertility": quality.op1_tokeniser_fertility,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_host_reputation": reputation.op6_host_reputation,
     "op7_extendible_sharding": sharding.op7_extendible_sharding,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_line_runs": linededup.op9_line_runs,
     "op10_trigram_secrets": secrets.op10_trigram_secrets,
 }
 SQL = {
     "op6_host_reputation": reputation.OP6_SQL,
     "op7_extendible_sharding": sharding.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op9_line_runs": linededup.OP9_SQL,
 }
