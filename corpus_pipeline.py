@@ -1,15 +1,61 @@
-"""Corpus pipeline: stages that each take and return documents."""
+"""Corpus pipeline: five stages over documents, each an operator of ``tallyforge.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns the next documents; the last returns packed
+pieces. All stages but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm.common import WORD, saved, table
+from tallyforge.llm.jaccard import drop_near_duplicates
+from tallyforge.llm.linededup import dedup_lines
+from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.packing import pack_documents
+from tallyforge.llm.toxicity import THRESHOLD, held_out, toxicity_score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold. Held-out labels are not learnt."""
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return docs.where(toxicity_score(F.col("text"), model) < THRESHOLD)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs, n_chars counted anew; documents that consisted of such copies alone go."""
+    out = dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    out = mix_sources(docs).where("repeats > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "repeats")).alias("_copy")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    return pack_documents(docs).drop("certified")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
+#: None: SQL can express neither the learnt scores nor the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on ``documents``; each stage's result is computed once."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs)
     return docs

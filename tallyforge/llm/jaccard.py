@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hinted, saved, table
+from .common import WORD, hinted, saved, table
 
 WIDTH = 5
 PERCENT = 75
@@ -183,16 +183,16 @@ def trie_links(ids: list[int], sets: list[np.ndarray], labels: list[int], percen
 
 
 def document_classes(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n, cls): a row for each row of ``df``; cls is null without shingles."""
+    """(doc_id, digest, n, cls): a row for each row of ``df``; digest is a hash of the text, cls is null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for b in batches:
             sets = (shingles(t, cache, width) for t in b.column(1).to_pylist())
             found = [(len(s), class_id(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "digest", "n", "cls"])
 
-    return df.select(doc_id, text).mapInArrow(run, "doc_id long, n long, cls long")
+    return df.select(doc_id, text, F.xxhash64(text).alias("_digest")).mapInArrow(run, "doc_id long, digest long, n long, cls long")
 
 
 def dealt(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int, short: bool = False) -> Iterator[pa.RecordBatch]:
@@ -395,12 +395,30 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT
     null ids left aside; rows of one id with different texts are judged each. An empty table
     gives no rows; other columns are ignored.
     """
+    return labelled(df, width, percent, doc_id, text, rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each component: of the smallest id, then the smallest hash of the text.
+
+    Rows without words are in no component and all stay.
+    """
+    rows = saved(labelled(df, width, percent, doc_id, text, ROUNDS).where("label is not null"))
+    keep = rows.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("digest").alias("d"))).alias("k")).select(F.col("k.i").alias("_i"), F.col("k.d").alias("_d")).distinct()
+    keyed = df.withColumns({"_i": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "_d": F.xxhash64(text)})
+    kept = keyed.join(keep, ["_i", "_d"], "left_semi").dropDuplicates(["_i", "_d"])
+    wordless = keyed.where(~F.coalesce(F.col(text), F.lit("")).rlike(WORD))
+    return kept.where(F.coalesce(F.col(text), F.lit("")).rlike(WORD)).unionByName(wordless).select(*df.columns)
+
+
+def labelled(df: DataFrame, width: int, percent: int, doc_id: str, text: str, rounds: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, label, component_id) of every row; label numbers components and is null without shingles."""
     docs = saved(document_classes(df, doc_id, text, width))
     classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     classes = saved(classes)
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
     if not n_tokens:
-        return docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return docs.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("cls").alias("label"), F.col("doc_id").alias("component_id"))
     shared = candidates(df, n_tokens, text, width)
     open_classes = saved(classes.join(shared, "cls").where(F.col("shared") * 100 >= F.col("n") * percent))
     sets = class_sets(df, open_classes, doc_id, text, width)
@@ -419,9 +437,9 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT
         labels = components(edges)
     members = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     least = members.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = members.join(least, "label").select("cls", "component_id")
+    named = members.join(least, "label").select("cls", "label", "component_id")
     out = docs.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def class_sets(df: DataFrame, open_classes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, linededup, mixing, packing, quality, reputation, secrets, sharding, toxicity
+from . import jaccard, linededup, media, mixing, packing, quality, reputation, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_tokeniser_fertility": quality.op1_tokeniser_fertility,
     "op2_bound_certified_packing": packing.op2_bound_certified_packing,
     "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
+    "op4_progressive_jpeg": media.op4_progressive_jpeg,
     "op5_prefix_tree_join": jaccard.op5_prefix_tree_join,
     "op6_host_reputation": reputation.op6_host_reputation,
     "op7_extendible_sharding": sharding.op7_extendible_sharding,
