@@ -1,0 +1,23 @@
+"""Row types of manifests, inventories, catalogs and registries."""
+
+from __future__ import annotations
+
+MANIFEST = (
+    "entry_id long, report_id long, source_pdf string, source_page int, project string, tape string, relative_path string, "
+    "norm_path string, top_folder string, norm_top_folder string, filename string, norm_filename string, reported_size string, "
+    "size_min_bytes long, size_max_bytes long, size_known int, entry_kind string, sequence_id string"
+)
+STORAGE = (
+    "source_root string, absolute_path string, absolute_path_bytes binary, relative_path string, relative_path_bytes binary, "
+    "norm_path string, top_folder string, norm_top_folder string, filename string, norm_filename string, path_encoding_valid int, "
+    "size_bytes long, mtime_ns long"
+)
+SCAN_ISSUE = "source_root string, path string, issue_type string, details string"
+PARSE_ISSUE = "source_pdf string, page int, issue_type string, details string"
+REPORT_STATS = "source_pdf string, project string, expected_files long, extracted_files long, difference long, sequence_files long, size_unknown_files long, issues long"
+LINE = "pdf string, line_no long, page int, line string"
+CELL = "workbook string, sheet string, row long, col string, value string"
+CATALOG = (
+    "workbook string, sheet string, row long, project_raw string, project_norm string, cassette_raw string, cassette_norm string, "
+    "path_raw string, path_norm string, filename_raw string, filename_norm string, size_raw string, size_bytes long"
+)
