@@ -12,8 +12,11 @@ where the new packing needs no fewer, so no round makes the packing worse.
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,28 +30,70 @@ CAPACITY = 4096
 END = 1  # id that ends a document
 PER_PARTITION = 60_000  # pieces that one task packs
 ROUNDS = 4
-CACHE = 300_000  # words kept by a worker
+END_BYTES = struct.pack("<I", END)
+CLOSING = re.compile(rb"[.,;:!?](?<=[a-z0-9].)")
+CACHE = 300_000  # pieces in a generation of a worker's cache
 
 
 class Encoder:
-    """Ids of a text by a public tokenizer that drops white space: each run between blanks is encoded once and kept."""
+    """Ids of a text by a public tokenizer that lower-cases and drops white space.
+
+    The tokenizer never joins what white space or, after a letter or digit, closing
+    punctuation divides. Texts are cut there; pieces come from a cache of two generations (what
+    the last CACHE new pieces did not use is forgotten), and only new ones are encoded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def cut(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" in raw:  # may be a special token, which is case-sensitive
+            return raw.split()
+        return CLOSING.sub(rb" \g<0>", raw.lower()).split()
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Makes the ids of all pieces of the texts known."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*texts).difference(known)
+        for w in new.intersection(older):
+            known[w] = older[w]
+        # letters alone are one word each, whose last token is marked: these are encoded as one text
+        plain, rest = [], []
+        for w in new.difference(older):
+            t = w.decode("utf-8", "replace")
+            (plain if t.isalpha() else rest).append((w, t))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in plain])], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) == len(plain):
+            raw, at = ids.tobytes(), 0
+            for (w, _), stop in zip(plain, stops.tolist(), strict=True):
+                known[w] = raw[at:stop]
+                at = stop
+        else:  # some letters change or divide when they are normalised
+            rest += plain
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
         """Little-endian 32-bit ids, the end id included."""
-        return b"".join([*map(self.known.__getitem__, words), np.array([END], "<u4").tobytes()])
+        return b"".join([*map(self.known.__getitem__, words), END_BYTES])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for a worker process; tasks after the first find its cache filled."""
+    return Encoder(path)
 
 
 def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,15 +102,15 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        own_encoder = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                words = [(t or "").encode("utf-8", "surrogatepass").split() for t in part.column(1).to_pylist()]
-                encoder.learn(words)
+                words = [own_encoder.cut(t) for t in part.column(1).to_pylist()]
+                own_encoder.learn(words)
                 out: list[tuple] = []
                 for doc, own in zip(part.column(0).to_pylist(), words, strict=True):
-                    ids = encoder.ids(own)
+                    ids = own_encoder.ids(own)
                     for k in range(0, len(ids), 4 * capacity):
                         piece = ids[k : k + 4 * capacity]
                         out.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
