@@ -77,7 +77,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     overall = hosts.agg(((F.sum("bad") + 1).cast("double") / (F.sum("n") + 2).cast("double")).alias("overall"))
     one = saved(overall.crossJoin(kh).crossJoin(kd).crossJoin(ks))  # one row
     row = one.first()
-    if row["kh"] is None:
+    if row["overall"] is None:
         return hosts.select("host", "n", "bad", F.lit(0.5).alias("mean"), F.lit(0.0).alias("lower"))
     overall, kh, kd, ks = (F.lit(float(row[c])) for c in ("overall", "kh", "kd", "ks"))
     suffixes = suffixes.select("suffix", ((F.col("bad") + ks * overall) / (F.col("n") + ks)).alias("ms"))
