@@ -42,7 +42,9 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     marker, fs = _path(spark, f"{path}/{MARKER}")
     if not fs.exists(marker):
         raise ValueError(f"snapshot is not complete: {path}")
-    metadata = json.loads("".join(r["value"] for r in spark.read.text(str(marker)).collect()))
+    stream = fs.open(marker)  # Spark's readers skip names that begin with '_'
+    metadata = json.loads(bytes(stream.readAllBytes()))
+    stream.close()
     files = spark.read.parquet(f"{path}/files")
     n, b, distinct = files.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0)), F.countDistinct("relative_path_bytes")).first()
     if (n, b) != (metadata["files"], metadata["bytes"]) or distinct != n:
