@@ -3,9 +3,9 @@
 Every document has 60 bits of a hash of its id and text. A bucket is a prefix of those bits;
 starting from the empty prefix only buckets above the byte limit split on one more bit. A
 bucket stops splitting when it fits or when all its rows have one hash. The bytes of fine
-cells (a bounded number of prefix bits) are summed in one shuffle; the driver folds this
-array of at most 2^FINE_BITS sums pairwise into all coarser levels and reads the directory
-off. Cells that are still too large are refined the same way on the next bits. Rows that
+cells (a bounded number of prefix bits) are summed in one shuffle; a task folds these at most
+2^FINE_BITS sums pairwise into all coarser levels and reads the directory off. Cells that are
+still too large become directories of their own on the next bits, one group each. Rows that
 agree in id and text share all bits; if such copies alone exceed the limit, they are dealt
 over numbered overflow pages. A single row above the limit has a shard for itself.
 """
@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hinted, saved, table
 
 BITS = 60
-FINE_BITS = 16  # at most 65,536 sums reach the driver in a round
+FINE_BITS = 16  # a directory's task folds at most 65,536 sums
 LIMIT = 8 << 20
 
 
@@ -47,6 +48,19 @@ def split_cells(sums: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
     return depth
 
 
+def leaf_depths(cells: DataFrame, limit: int, upto: int, bits: int) -> DataFrame:
+    """(cell, depth) of (base, cell, b, k): one directory below each base, of at most 2^bits cells; depth -1 where a cell must be refined."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, k = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        at = pdf["cell"].to_numpy() - (int(pdf["base"].iloc[0]) << bits)
+        b[at], k[at] = pdf["b"].to_numpy(), pdf["k"].to_numpy()
+        depth = split_cells(b, k, limit)[at]
+        return pd.DataFrame({"cell": pdf["cell"], "depth": np.where(depth < 0, -1, depth + upto - bits)})
+
+    return cells.groupBy("base").applyInPandas(run, "cell long, depth int")
+
+
 def shard_by_hash(df: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, depth, prefix, page): ``prefix`` is the bucket's bits as a 0/1 string of length ``depth``.
 
@@ -55,29 +69,20 @@ def shard_by_hash(df: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", tex
     """
     slim = saved(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(doc_id), F.col(text)).alias("h")))
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
-    step = min(FINE_BITS, max(4, math.ceil(math.log2(total / limit + 1)) + 4))
-    spark, open_rows, leaves = df.sparkSession, slim, []
-    for upto in range(step, BITS + step, step):
-        upto = min(upto, BITS)
+    open_rows, leaves, done = slim, [], 0
+    while done < BITS:
+        # four bits more than an even spread needs, so that a second round is rare
+        bits = min(FINE_BITS, BITS - done, max(4, math.ceil(math.log2(total / limit / (1 << done) + 1)) + 4))
+        upto = done + bits
         cell = F.shiftright("h", BITS - upto)
-        cells = open_rows.groupBy(F.shiftright("h", BITS - max(0, upto - step)).alias("base"), cell.alias("cell")).agg(F.sum("n_bytes").alias("b"), F.when(F.min("h") == F.max("h"), 1).otherwise(2).alias("k"))
-        found, low = [], upto - max(0, upto - step)
-        again = []
-        for base, part in cells.toPandas().groupby("base"):
-            b, k = np.zeros(1 << low, dtype=np.int64), np.zeros(1 << low, dtype=np.int64)
-            at = (part["cell"].to_numpy() - (int(base) << low)).astype(np.int64)
-            b[at], k[at] = part["b"].to_numpy(), part["k"].to_numpy()
-            depth = split_cells(b, k, limit)
-            found += [(int(c), int(depth[i] + upto - low)) for c, i in zip(part["cell"], at, strict=True) if depth[i] >= 0]
-            again += [int(c) for c, i in zip(part["cell"], at, strict=True) if depth[i] < 0]
-        if found:
-            directory = hinted(spark.createDataFrame(found, "cell long, depth int"), 1 << FINE_BITS)
-            leaves.append(open_rows.withColumn("cell", cell).join(directory, "cell").select("doc_id", "n_bytes", "h", "depth"))
-        if not again:
+        cells = open_rows.groupBy(F.shiftright("h", BITS - done).alias("base"), cell.alias("cell")).agg(F.sum("n_bytes").alias("b"), F.when(F.min("h") == F.max("h"), 1).otherwise(2).alias("k"))
+        directory = saved(leaf_depths(cells, limit, upto, bits))
+        placed = open_rows.withColumn("cell", cell).join(hinted(directory, 1 << FINE_BITS), "cell")
+        leaves.append(placed.where("depth >= 0").select("doc_id", "n_bytes", "h", "depth"))
+        if directory.where("depth < 0").isEmpty():
             break
-        rest = hinted(spark.createDataFrame([(c,) for c in again], "cell long"), 1 << FINE_BITS)
-        open_rows = open_rows.withColumn("cell", cell).join(rest, "cell", "left_semi").drop("cell")
-    out = leaves[0] if leaves else slim.withColumn("depth", F.lit(0))
+        open_rows, done = saved(placed.where("depth < 0").select("doc_id", "n_bytes", "h")), upto
+    out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
     out = out.withColumn("prefix", F.when(F.col("depth") == 0, "").otherwise(F.substring(F.lpad(F.bin("h"), BITS, "0"), F.lit(1), F.col("depth"))))
