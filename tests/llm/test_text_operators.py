@@ -95,6 +95,7 @@ def test_jaccard_components(spark, rounds):
 
 def test_jaccard_large_blocks_meet(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "ONE_TASK", 0)
     rows = near_rows(4)
     for rounds in ((), ((1,),)):
         got = jaccard.jaccard_components(docs(spark, rows), rounds=rounds)
