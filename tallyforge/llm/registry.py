@@ -21,4 +21,5 @@ SQL = {
     "op7_extendible_sharding": sharding.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_line_runs": linededup.OP9_SQL,
+    "op10_trigram_secrets": secrets.OP10_SQL,
 }

@@ -246,3 +246,22 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter(places, _is(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     base = F.filter(spans, lambda s: s["place"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+def _sql_spans(rule: Rule, place: int) -> str:
+    rx = rule.regex.replace("'", "''")
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, a, a + length(m[k]) AS b FROM (
+      SELECT *, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (
+        SELECT doc_id, m, g, s, unnest(range(1, len(m) + 1)) AS k FROM (
+          SELECT doc_id, regexp_extract_all(t, '{rx}', 0) AS m, regexp_extract_all(t, '{rx}', {rule.value}) AS g, string_split_regex(t, '{rx}') AS s FROM d))) WHERE length(g[k]) >= {rule.least}"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(_sql_spans(r, i) for i, r in enumerate(BASE + MORE))}),
+w AS (SELECT *, kind || ':' || a || ':' || b AS w FROM x),
+c AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+  string_agg(w, ',' ORDER BY a, place) FILTER (place < {len(BASE)}) AS base, string_agg(w, ',' ORDER BY a, place) AS spans FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (doc_id)
+"""
