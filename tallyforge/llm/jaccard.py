@@ -11,14 +11,16 @@
    cannot reach the overlap, or that are already one component with it.
 4. After each round classes are counted again, with components in place of classes: only
    shingles shared with another component count. Classes below the count are finished.
-5. What remains after the rounds is joined exactly: every class goes to one block for each
-   shingle of its prefix (rarest first; a linked pair shares one of them), and the trie joins
-   each block. Blocks too large for a task are dealt as all pairs of their parts.
+5. What remains after the rounds is joined exactly: a linked pair shares a shingle of its
+   prefixes (rarest first), so classes joined by prefix shingles form families, and a trie
+   joins each family. Families too large for a task are dealt by prefix shingle, a class to
+   one block for each, and blocks too large for a task as all pairs of their parts.
 No step emits the pairs of a group; blocks and buckets have a bounded size.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -35,8 +37,10 @@ PERCENT = 75
 WORD_CACHE = 300_000
 BUCKET_TOKENS = 1_500_000  # shingles that one bucket counts
 CHUNK_TOKENS = 1_500_000  # shingles that a task holds before it deals them out
+NAMES = 200_000  # open classes (two numbers each) that are broadcast; more are joined by shuffle
+ONE_TASK = 400_000  # edges (two numbers each) that one task joins
 BLOCK = 2_000  # sets that one trie joins
-ROUNDS = 2
+ROUNDS = ((1,), (2, 3, 4))  # salts of each round: a class goes to a block for each
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -234,13 +238,14 @@ def dealt(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int, short: bool
 BLOBS = "bucket long, tokens binary, at binary, owners binary, labels binary"
 
 
-def foreign_tokens(blobs: DataFrame, lists: bool) -> DataFrame:
+def foreign_tokens(blobs: DataFrame, lists: bool, slices: int = 1) -> DataFrame:
     """Per class, its shingles that classes of another label have too.
 
-    (cls, shared) counts, or with ``lists`` (cls, tokens, df): the shingles themselves and how
-    many classes have each. One row for each class and bucket.
+    With ``lists`` (cls, tokens, df): the shingles themselves and how many classes have each,
+    a row for each class and bucket. Else (slice, classes, counts): a bucket's counts packed
+    into one row for each slice of the classes.
     """
-    schema = "cls long, tokens binary, df binary" if lists else "cls long, shared long"
+    schema = "cls long, tokens binary, df binary" if lists else "slice long, classes binary, counts binary"
 
     def run(group: pa.Table) -> pa.Table:
         tokens, owners, labels = [], [], []
@@ -265,7 +270,12 @@ def foreign_tokens(blobs: DataFrame, lists: bool) -> DataFrame:
             once = np.ones(len(owners), bool)
             once[1:] = (owners[1:] != owners[:-1]) | (tokens[1:] != tokens[:-1])
             who, count = np.unique(owners[once], return_counts=True)
-            return pa.table({"cls": pa.array(who), "shared": pa.array(count.astype(np.int64))})
+            to = who % slices
+            order = np.argsort(to, kind="stable")
+            who, count, to = who[order], count[order].astype(np.int64), to[order]
+            cut = np.flatnonzero(np.diff(to)) + 1
+            parts = list(zip(np.split(to, cut), np.split(who, cut), np.split(count, cut), strict=True)) if len(to) else []
+            return pa.table({"slice": pa.array([int(x[0]) for x, _, _ in parts], pa.int64()), "classes": pa.array([x.tobytes() for _, x, _ in parts], pa.binary()), "counts": pa.array([x.tobytes() for _, _, x in parts], pa.binary())})
         order = np.argsort(owners, kind="stable")
         tokens, owners, df = tokens[order], owners[order], df[order]
         cut = np.flatnonzero(np.diff(owners)) + 1
@@ -297,7 +307,14 @@ def candidates(df: DataFrame, n_tokens: int, text: str, width: int) -> DataFrame
 
         yield from dealt(rows(), buckets, short=True)
 
-    return foreign_tokens(df.select(text).mapInArrow(run, BLOBS), lists=False).groupBy("cls").agg(F.sum("shared").alias("shared"))
+    def add(group: pa.Table) -> pa.Table:
+        classes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("classes").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()])
+        who, at = np.unique(classes, return_inverse=True)
+        return pa.table({"cls": pa.array(who), "shared": pa.array(np.bincount(at, counts, minlength=len(who)).astype(np.int64))})
+
+    found = foreign_tokens(df.select(text).mapInArrow(run, BLOBS), lists=False, slices=buckets)
+    return found.groupBy("slice").applyInArrow(add, "cls long, shared long")
 
 
 def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -316,8 +333,35 @@ def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, label): label is the smallest member. Alternating large and small stars on the edges."""
+    """(cls, label): label is the smallest member.
+
+    Up to ONE_TASK edges are joined by union-find in one task; more by alternating large and
+    small stars over all tasks.
+    """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if e.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return saved(e.repartition(1).mapInArrow(union_find, "cls long, label long"))
+    return star_components(e)
+
+
+def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    found = [(x, r) for x in parent if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["cls", "label"])
+
+
+def star_components(e: DataFrame) -> DataFrame:
+    """(cls, label) of (a, b) with a > b."""
     state = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -360,19 +404,24 @@ def in_parts(rows: DataFrame, exact: bool) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("key", part))
 
 
-def permuted(sets: DataFrame, salt: int) -> DataFrame:
-    """(key, cls, label, tokens): tokens in the order of the salt, key the first."""
+def permuted(sets: DataFrame, salts: tuple[int, ...]) -> DataFrame:
+    """(key, cls, label, tokens), a row for each salt: tokens in its order, key the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.sort(mix(np.frombuffer(t, np.uint64), salt)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(t[0]) - (1 << 63) for t in own], pa.int64()), b.column(0), b.column(1), pa.array([t.tobytes() for t in own], pa.binary())], names=["key", "cls", "label", "tokens"])
+            sets_ = [np.frombuffer(t, np.uint64) for t in b.column(2).to_pylist()]
+            for salt in salts:
+                own = [np.sort(mix(t, salt)) for t in sets_]
+                yield pa.RecordBatch.from_arrays([pa.array([int(t[0]) - (1 << 63) for t in own], pa.int64()), b.column(0), b.column(1), pa.array([t.tobytes() for t in own], pa.binary())], names=["key", "cls", "label", "tokens"])
 
     return sets.select("cls", "label", "tokens").mapInArrow(run, "key long, cls long, label long, tokens binary")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, cls, label, tokens): a row for each prefix shingle, rarest first; shingles of no other component are skipped but use up the prefix."""
+def prefixes(todo: DataFrame, percent: int, sets: bool = True) -> DataFrame:
+    """(key, cls, label, tokens): a row for each prefix shingle, rarest first; shingles of no other component are skipped but use up the prefix.
+
+    Without ``sets`` tokens are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,12 +430,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 df = np.concatenate([np.frombuffer(f["df"], np.uint32) for f in found])
                 k = max(0, n - least_shared(n, percent) - (n - len(tokens)) + 1)
                 keys = tokens[np.lexsort((tokens, df))[:k]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c] * len(keys), pa.int64()), pa.array([label] * len(keys), pa.int64()), pa.array([t] * len(keys), pa.binary())], names=["key", "cls", "label", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c] * len(keys), pa.int64()), pa.array([label] * len(keys), pa.int64()), pa.array([t if sets else None] * len(keys), pa.binary())], names=["key", "cls", "label", "tokens"])
 
-    return sets.select("cls", "label", "n", "tokens", "found").mapInArrow(run, "key long, cls long, label long, tokens binary")
+    return todo.select("cls", "label", "n", "tokens", "found").mapInArrow(run, "key long, cls long, label long, tokens binary")
 
 
-def jaccard_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def jaccard_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: tuple[tuple[int, ...], ...] = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``df``.
 
     Links: 100 * intersection >= percent * union of the distinct ``width``-word shingles of
@@ -411,7 +460,7 @@ def drop_near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCE
     return kept.where(F.coalesce(F.col(text), F.lit("")).rlike(WORD)).unionByName(wordless).select(*df.columns)
 
 
-def labelled(df: DataFrame, width: int, percent: int, doc_id: str, text: str, rounds: int) -> DataFrame:
+def labelled(df: DataFrame, width: int, percent: int, doc_id: str, text: str, rounds: tuple[tuple[int, ...], ...]) -> DataFrame:
     """(doc_id, digest, n_shingles, label, component_id) of every row; label numbers components and is null without shingles."""
     docs = saved(document_classes(df, doc_id, text, width))
     classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
@@ -419,27 +468,63 @@ def labelled(df: DataFrame, width: int, percent: int, doc_id: str, text: str, ro
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
     if not n_tokens:
         return docs.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("cls").alias("label"), F.col("doc_id").alias("component_id"))
+    sets = class_sets(df, open_classes(df, classes, n_tokens, text, width, percent), doc_id, text, width)
+    release(df.sparkSession)
+    labels = linked_labels(sets, percent, rounds)
+    release(df.sparkSession)
+    members = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
+    least = members.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = members.join(least, "label").select("cls", "label", "component_id")
+    out = docs.join(named, "cls", "left")
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def open_classes(df: DataFrame, classes: DataFrame, n_tokens: int, text: str, width: int, percent: int) -> DataFrame:
     shared = candidates(df, n_tokens, text, width)
-    open_classes = saved(classes.join(shared, "cls").where(F.col("shared") * 100 >= F.col("n") * percent))
-    sets = class_sets(df, open_classes, doc_id, text, width)
-    labels, edges, todo = None, None, relabelled(sets, sets.select("cls", F.col("cls").alias("label")))
-    for salt in range(1, rounds + 2):
-        last = salt == rounds + 1
+    return saved(classes.join(shared, "cls").where(F.col("shared") * 100 >= F.col("n") * percent))
+
+
+def linked_labels(sets: DataFrame, percent: int, rounds: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(cls, label) of all classes with a link: rounds of blocks, then the exact join of what may still have one."""
+    n_tokens = sets.agg(F.sum("n")).first()[0] or 0
+    labels, todo = None, relabelled(sets, sets.select("cls", F.col("cls").alias("label")))
+    for salts in (*rounds, None):
         if labels is not None:
             todo = relabelled(todo.select("cls", "n", "tokens"), labels)
-        if labels is not None or last:
+        if labels is not None or salts is None:
             todo = saved(unfinished(todo, n_tokens, percent))
             if todo.isEmpty():
                 break
-        blocks = in_parts(prefixes(todo, percent), exact=True) if last else in_parts(permuted(todo, salt), exact=False)
+        blocks = exact_blocks(todo, percent) if salts is None else in_parts(permuted(todo, salts), exact=False)
         found = link_blocks(blocks, percent)
-        edges = found if labels is None else found.union(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
-        labels = components(edges)
-    members = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
-    least = members.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = members.join(least, "label").select("cls", "label", "component_id")
-    out = docs.join(named, "cls", "left")
-    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+        labels = components(found if labels is None else found.union(labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
+        release(sets.sparkSession)
+    return labels
+
+
+def exact_blocks(todo: DataFrame, percent: int) -> DataFrame:
+    """(key, cls, label, tokens): blocks in which every pair that may have a link meets.
+
+    Linked pairs share a prefix shingle, so they are in one family: a component of the classes
+    joined by prefix shingles. A family of at most BLOCK sets is one block, its sets move once;
+    larger families are dealt by prefix shingle.
+    """
+    keys = saved(prefixes(todo, percent, sets=False))
+    low = keys.groupBy("key").agg(F.min("cls").alias("b"))
+    family = components(keys.join(low, "key").select(F.col("cls").alias("a"), "b")).withColumnRenamed("label", "family")
+    rows = todo.join(family, "cls", "left").withColumn("family", F.coalesce("family", "cls"))
+    sizes = saved(rows.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"))
+    rows = rows.join(hinted(sizes, NAMES), "family")
+    small = rows.where(F.col("size") <= BLOCK).select(F.col("family").alias("key"), "cls", "label", "tokens")
+    if sizes.where(F.col("size") > BLOCK).isEmpty():
+        return small
+    return small.unionByName(in_parts(prefixes(rows.where(F.col("size") > BLOCK), percent), exact=True).select("key", "cls", "label", "tokens"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; they are only dropped when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def class_sets(df: DataFrame, open_classes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -452,7 +537,7 @@ def class_sets(df: DataFrame, open_classes: DataFrame, doc_id: str, text: str, w
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["cls", "n", "tokens"])
 
     names = open_classes.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))
-    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(hinted(names), F.col("_id").eqNullSafe(F.col("_first")))
+    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(hinted(names, NAMES), F.col("_id").eqNullSafe(F.col("_first")))
     return saved(rows.select("_cls", "_text").mapInArrow(run, "cls long, n long, tokens binary").dropDuplicates(["cls"]))
 
 
