@@ -4,7 +4,8 @@ A public byte-level BPE gives characters per token and the entropy of the token
 a public piece vocabulary with byte fallback gives the share of pieces that are raw bytes.
 Words are tokenised once and kept in a bounded cache, whole batches are counted in numpy. A
 text is rejected outside the band of its language or, where the language has none, of the
-script that most of its words are in.
+script that most of its words are in. A language's band follows the count of tokens, as both
+measures vary more in short texts and entropy grows with length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,16 @@ BANDS = {
     "other": (0.1, 8.0, 0.95, 0.35),
     "none": (0.0, 3.0, 0.95, 0.35),
 }
+#: By language of `documents`, at log2 of the tokens: least, most characters per token, least entropy
+#: in bits; between them the line. Each is the median over all texts of sf0.1 that pass the base
+#: rules, less or plus 5 (entropy: less 3) times 1.4826 median deviations; labels were not used.
+LENGTH_BANDS = {
+    "de": ((5, 1.42, 2.67, 4.13), (6, 1.54, 2.54, 5.04), (7, 1.68, 2.35, 5.52), (8, 1.74, 2.32, 5.90), (9, 1.82, 2.25, 6.19), (10, 1.87, 2.20, 6.39), (11, 1.93, 2.14, 6.54), (12, 1.94, 2.12, 6.64), (13, 1.95, 2.12, 6.72)),
+    "en": ((5, 1.51, 2.93, 4.19), (6, 1.77, 2.68, 4.92), (7, 1.85, 2.62, 5.51), (8, 1.94, 2.54, 6.00), (9, 2.03, 2.45, 6.34), (10, 2.08, 2.40, 6.60), (11, 2.12, 2.36, 6.76), (12, 2.15, 2.33, 6.88), (13, 2.18, 2.30, 6.93)),
+    "es": ((5, 0.72, 2.88, 3.57), (6, 1.02, 2.51, 4.77), (7, 1.44, 2.13, 5.33), (8, 1.50, 2.03, 5.58), (9, 1.57, 1.96, 5.92), (10, 1.62, 1.92, 6.20), (11, 1.67, 1.87, 6.35), (12, 1.68, 1.86, 6.46), (13, 1.69, 1.84, 6.50)),
+    "fr": ((5, 1.03, 2.69, 3.98), (6, 1.40, 2.31, 4.83), (7, 1.48, 2.24, 5.35), (8, 1.57, 2.14, 5.76), (9, 1.62, 2.07, 6.04), (10, 1.70, 2.00, 6.25), (11, 1.74, 1.96, 6.40), (12, 1.75, 1.94, 6.47), (13, 1.77, 1.92, 6.54)),
+}
+MOST_BYTES = 0.02  # sf0.1: 0.0 in every text
 CACHE = 400_000  # words kept by a worker
 CHUNK_WORDS = 200_000  # words counted at once; one text is never cut
 FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string())]
@@ -134,6 +145,13 @@ def base_counts(text: str) -> tuple[bytes, int, int, int]:
     return b, chars, len(b) - len(b.translate(None, SYMBOLS)), dup
 
 
+def by_length(rows: tuple, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least, most characters per token, least bits) for texts of so many tokens; below the first row the bits shrink with log2."""
+    at, low, high, bits = np.array(rows, float).T
+    size = np.log2(np.maximum(n_tokens, 1))
+    return np.interp(size, at, low), np.interp(size, at, high), np.interp(size, at, bits) * np.minimum(size / at[0], 1)
+
+
 def score_chunk(words: Words, docs: list[tuple], langs: list, bands: dict) -> list[list]:
     """docs: (words as bytes, word_chars, n_symbols, n_dup_lines)."""
     n = len(docs)
@@ -159,10 +177,16 @@ def score_chunk(words: Words, docs: list[tuple], langs: list, bands: dict) -> li
     scripts[:, -1] = np.where(scripts[:, :-1].any(axis=1), 0, 1)
     script = [SCRIPTS[i] for i in scripts.argmax(axis=1)]
     failed = (counts < 10) | (100 * repeat > 20 * counts)
-    kept = []
+    kept = ~failed
+    owners: dict[str, list[int]] = {}
     for i in range(n):
-        low, high, most_bytes, least = bands.get(langs[i]) or bands[script[i]]
-        kept.append(bool(not failed[i] and low <= per_token[i] <= high and byte_share[i] <= most_bytes and share[i] >= least))
+        owners.setdefault(langs[i] if langs[i] in bands else script[i], []).append(i)
+    for name, own in owners.items():
+        if isinstance(bands[name][0], tuple):
+            (low, high, least), most_bytes, measure = by_length(bands[name], n_tokens[own]), MOST_BYTES, bits
+        else:
+            (low, high, most_bytes, least), measure = bands[name], share
+        kept[own] &= (low <= per_token[own]) & (per_token[own] <= high) & (byte_share[own] <= most_bytes) & (measure[own] >= least)
     return [counts, chars, [d[2] for d in docs], [d[3] for d in docs], repeat, failed, kept, per_token, byte_share, bits, script]
 
 
@@ -170,7 +194,8 @@ def fertility_rules(df: DataFrame, bpe: str | None = None, pieces: str | None =
     """Per row: base counts, base_failed, kept, and the fertility measures.
 
     A null text is an empty one: no words, base_failed. ``bands`` is keyed by script and, if
-    ``lang`` names a column, by its values first. Every row of repeated rows is judged; an
+    ``lang`` names a column, by its values first; a band is like one of ``BANDS`` or of
+    ``LENGTH_BANDS``. Every row of repeated rows is judged; an
     empty table gives no rows; other columns are ignored. ``bpe`` and ``pieces`` are paths of
     public vocabularies on every executor.
     """
@@ -198,4 +223,4 @@ def fertility_rules(df: DataFrame, bpe: str | None = None, pieces: str | None =
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility_rules(table(spark, sf_dir, "documents"))
+    return fertility_rules(table(spark, sf_dir, "documents"), bands=LENGTH_BANDS, lang="lang")

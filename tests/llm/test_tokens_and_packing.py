@@ -100,3 +100,20 @@ def test_bands_reject_by_language(spark):
     df = spark.createDataFrame([(1, text, "en"), (2, odd, "en"), (3, text, "zz")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in quality.fertility_rules(df, lang="lang", bands={"zz": (20.0, 30.0, 1.0, 0.0)}).collect()}
     assert got[1].kept and not got[3].kept and got[2].byte_share > 0.5 and got[1].script == "latin"
+
+
+def test_query_rejects_junk_of_each_language(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    marks = ("$$$", "***", "&&&", "###")
+    rows = []
+    for r in d.where("length(text) > 600").orderBy("doc_id").collect():
+        words = r.text.split()
+        symbols = " ".join(w + marks[i % 4] for i, w in enumerate(words))
+        rows += [(3 * r.doc_id, r.text, r.lang), (3 * r.doc_id + 1, symbols, r.lang), (3 * r.doc_id + 2, " | ".join(words), r.lang)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id: r.kept for r in quality.op1_tokeniser_fertility(spark, str(tmp_path)).where("not base_failed").collect()}
+    got = pd.DataFrame([(lang, i % 3, kept[i]) for i, _, lang in rows if i in kept], columns=["lang", "kind", "kept"])
+    share = got.groupby(["lang", "kind"])["kept"].mean()
+    for lang in ("de", "en", "es", "fr"):
+        assert share[lang, 0] == 1 and share[lang, 1] == 0 and share[lang, 2] == 0
