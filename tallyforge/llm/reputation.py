@@ -4,7 +4,8 @@ Labelled page outcomes (bad or not) are summed by host; hosts sum to registered
 domains to suffixes. Each level's beta-binomial prior is centred on the posterior mean of the
 level above; its strength comes from the spread of that level's groups by the method of
 moments. A host is blocked when the lower bound of its posterior bad rate passes a threshold,
-so hosts with few labels follow their domain and suffix.
+so hosts with few labels follow their domain and suffix, and a host with none is judged by the
+bound of its prior.
 """
 
 from __future__ import annotations
@@ -64,17 +65,18 @@ def strength(groups: DataFrame) -> Column:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Of (host, bad 0/1): host, n, bad, mean, lower. A null outcome is left out.
+    """Of (host, bad 0/1): host, n, bad, mean, lower. A null outcome is not counted, but its host is judged.
 
-    Three sums, each on the sums before; only per-host rows are joined.
+    A host with n = 0 has its domain's mean, a domain without labels its suffix's, a suffix
+    without labels the overall one. Three sums, each on the sums before; only per-host rows are joined.
     """
     domain, suffix = domain_parts(F.col("host"))
-    hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     hosts = saved(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    kh, kd, ks = (g.agg(strength(g).alias(k)) for g, k in ((hosts, "kh"), (domains, "kd"), (suffixes, "ks")))
-    overall = hosts.agg(((F.sum("bad") + 1).cast("double") / (F.sum("n") + 2).cast("double")).alias("overall"))
+    kh, kd, ks = (g.where("n > 0").agg(strength(g).alias(k)) for g, k in ((hosts, "kh"), (domains, "kd"), (suffixes, "ks")))
+    overall = hosts.where("n > 0").agg(((F.sum("bad") + 1).cast("double") / (F.sum("n") + 2).cast("double")).alias("overall"))
     one = saved(overall.crossJoin(kh).crossJoin(kd).crossJoin(ks))  # one row
     row = one.first()
     if row["overall"] is None:
@@ -92,13 +94,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: fl
     """(page_id, host, path, rule, verdict, lower). ``outcomes``: (page_id, bad).
 
     A rule's verdict stands; without one a page is blocked if its host's lower posterior bound
-    is above ``threshold``; hosts without any label are allowed. Null urls have an empty host,
+    is above ``threshold``; a host without labels has the bound of its domain or suffix. Without
+    any label at all every bound is 0. Null urls have an empty host,
     which is judged like any host. Repeated pages are judged each, their outcomes counted each.
     """
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation = saved(host_reputation(parsed.join(known, "page_id").select("host", "bad")))
+    reputation = saved(host_reputation(parsed.join(known, "page_id", "left").select("host", "bad")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = parsed.join(hinted(reputation.select("host", "lower")), "host", "left")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("lower") > threshold, "block").otherwise("allow")).alias("verdict"), "lower")

@@ -154,6 +154,18 @@ def test_rules_and_reputation(spark):
     assert [tuple(p) for p in parts] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("com", "com"), ("1.2.3.4", ""), ("", "")]
 
 
+def test_unlabelled_hosts_follow_domain_and_suffix(spark):
+    urls = [f"http://h{i % 10}.{'evil' if i % 2 else 'fine'}.com/x" for i in range(200)] + ["http://new.evil.com/x", "http://new.fine.com/x", "http://a.other.com/x", "http://a.b.zz/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = spark.createDataFrame([(i, i % 2) for i in range(200)], "page_id long, bad int")
+    got = {r.host: r for r in reputation.judge_urls(pages, bad).collect()}
+    assert [got[h].verdict for h in ("new.evil.com", "new.fine.com", "a.other.com", "a.b.zz")] == ["block", "allow", "allow", "allow"]
+    # strengths: kh = kd = LEAST, ks = MOST (one suffix); overall = com = 1/2
+    md = (100 + 2 * 0.5) / (100 + 2)
+    for host, m in (("new.evil.com", md), ("new.fine.com", 1 - md), ("a.other.com", 0.5), ("a.b.zz", 0.5)):
+        assert abs(got[host].lower - (m - reputation.Z * (m * (1 - m) / 3) ** 0.5)) < 1e-9
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
