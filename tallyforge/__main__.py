@@ -45,6 +45,22 @@ def _sha(spark: SparkSession, path: str) -> str:
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
 
+def _rows_sha(rows) -> str:
+    """The same for the same rows in any order."""
+    n, x = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    return f"{n}_{x}"
+
+
+def _scans(spark: SparkSession, store: str):
+    """(scan issues, (source_root, files) that the scans counted) of all imported scans."""
+    reg = registry.registry(spark, store)
+    bare = reg.where("kind = 'storage'").join(reg.where("kind = 'scan_stats'").select("content_sha256"), "content_sha256", "left_anti").limit(1).collect()
+    if bare:
+        raise ValueError(f"scan imported without its issues, import it again: {bare[0]['source']}")
+    expected = registry.imported(spark, store, "scan_stats").groupBy("source_root").agg(F.sum("files").alias("files"))
+    return registry.imported(spark, store, "scan_issue").select("source_root", "path", "issue_type", "details").distinct(), expected
+
+
 def _inputs(spark: SparkSession, store: str):
     m = registry.imported(spark, store, "manifest")
     # insertion order: by import, then by place in the report
@@ -71,16 +87,20 @@ def _scan(spark, a):
     for r in a.roots:
         if os.path.realpath(a.snapshot).startswith(os.path.realpath(r).rstrip("/") + "/"):
             raise ValueError("snapshot inside a source root")
-    meta = snapshot.write_snapshot(filesystem.inventory(found), a.snapshot, {"roots": a.roots})
-    filesystem.issues(found).write.parquet(f"{a.snapshot}/issues")
+    counted = found.groupBy("source_root").agg(F.count("relative_path_bytes").alias("files")).collect()
+    roots = dict.fromkeys(a.roots, 0) | {r["source_root"]: r["files"] for r in counted}
+    meta = snapshot.write_snapshot(filesystem.inventory(found), a.snapshot, {"roots": a.roots, "root_files": roots}, filesystem.issues(found))
     found.unpersist()
     return f"COMPLETE:{meta['files']}"
 
 
 def _import_scan(spark, a):
-    files, _ = snapshot.read_snapshot(spark, a.snapshot)
-    n, x = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
-    sha = f"{n}_{x}"  # the same for the same rows in any order
+    files, meta = snapshot.read_snapshot(spark, a.snapshot)
+    issues, expected = snapshot.read_issues(spark, a.snapshot, meta)
+    sha = _rows_sha(files)
+    # before the files, which are never visible without them; the same files may come with other issues
+    registry.commit(spark, a.store, "scan_issue", issues, a.snapshot, f"{sha}_{_rows_sha(issues)}")
+    registry.commit(spark, a.store, "scan_stats", expected, a.snapshot, sha)
     return registry.commit(spark, a.store, "storage", files, a.snapshot, sha)
 
 
@@ -109,6 +129,8 @@ def _compare(spark, a):
     sinks.write_csv(compare.duplicate_paths(m), f"{a.out}/lto_duplicate_paths.csv", ["norm_path"])
     sinks.write_csv(compare.duplicate_locations(m), f"{a.out}/duplicate_manifest_locations.csv", ["tape", "norm_path"])
     sinks.write_csv(compare.duplicate_storage(s), f"{a.out}/storage_duplicate_paths.csv", ["norm_path"])
+    if not registry.registry(spark, a.store).where("kind = 'parse_issue'").isEmpty():
+        sinks.write_csv(registry.imported(spark, a.store, "parse_issue").drop("content_sha256"), f"{a.out}/parse_issues.csv", ["source_pdf", "page", "issue_type"])
     sinks.write_shell_list(compare.copy_list(m, s), "absolute_path", f"{a.out}/copy_list.txt")
     totals = {r["metric"]: r["value"] for r in compare.summary(m, s, not a.no_moved_check).collect()}
     sinks.write_json(totals, f"{a.out}/summary.json")
@@ -119,7 +141,7 @@ def _compare(spark, a):
 def _deletable(spark, a):
     m, s = _inputs(spark, a.store)
     os.makedirs(a.out)
-    facts = folders.folder_facts(classify.classify(m, s), m).persist()
+    facts = folders.folder_facts(classify.classify(m, s), m, *_scans(spark, a.store)).persist()
     sinks.write_csv(folders.folder_report(facts), f"{a.out}/folder_report.csv", ["source_root", "folder_name"])
     simple = folders.simple_report(facts, a.tolerance_percent, a.tolerance_bytes)
     sinks.write_csv(simple, f"{a.out}/simple_report.csv", ["source_root", "folder_name"])

@@ -296,6 +296,22 @@ def folder_strict_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.strict_decision(_facts(spark, sf_dir)).select("source_root", F.col("top_raw").cast("string").alias("folder_name"), "file_count", "verified_count", "decision", "blocking_reasons")
 
 
+@query(
+    "folder_decision_with_issues",
+    sql.folders("""
+, wi AS (SELECT fo.*, starts_with(top, 'prj_1') AS broken, source_root LIKE '%VIDEO1/SOURCE' AS short FROM fo),
+wr AS (SELECT *, list_sort(list_distinct(list_concat(reasons, CASE WHEN odd > 0 OR short THEN ['INCOMPLETE_CLASSIFICATION'] ELSE [] END, CASE WHEN broken THEN ['DIRECTORY_READ_ERROR'] ELSE [] END))) AS why FROM wi)
+SELECT source_root, top AS folder_name, CASE WHEN len(why) = 0 AND ver = files THEN 'SAFE_TO_DELETE' ELSE 'BLOCKED' END AS decision, array_to_string(why, ' | ') AS blocking_reasons, CASE WHEN broken THEN 'directory_read_error' ELSE '' END AS scan_issue_types FROM wr"""),
+)
+def folder_decision_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that could not read a part of the folders prj_1, prj_10 and so on, and lost a file of VIDEO1."""
+    m, s = _both(spark, sf_dir)
+    issues = s.where(F.col("top_folder").startswith("prj_1")).select("source_root", F.concat_ws("/", "source_root", "top_folder", F.lit("new0")).alias("path"), F.lit("directory_read_error").alias("issue_type"), F.lit("").alias("details"))
+    expected = s.groupBy("source_root").agg((F.count("*") + F.when(F.col("source_root").endswith("VIDEO1/SOURCE"), 1).otherwise(0)).alias("files"))
+    facts = folders.folder_facts(classify.classify(m, s), m, issues, expected)
+    return folders.folder_report(facts).select("source_root", "folder_name", "decision", "blocking_reasons", "scan_issue_types")
+
+
 def _result(p: str, empty: str) -> str:
     return f"CASE WHEN {p}pc = 0 THEN '{empty}' WHEN {p}uc > 0 OR {p}cc > 0 THEN 'UNKNOWN_LTO_SIZES' WHEN size BETWEEN {p}lo AND {p}hi THEN 'WITHIN_INTERVAL' ELSE 'OUTSIDE_INTERVAL' END"
 

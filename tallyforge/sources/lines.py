@@ -216,6 +216,10 @@ def entries(parsed: DataFrame, ascii_only: bool = False) -> DataFrame:
     )
 
 
+def parse_issues(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind = 'issue'").select(F.col("pdf").alias("source_pdf"), "page", "issue_type", "details")
+
+
 def report_stats(parsed: DataFrame) -> DataFrame:
     """One row for each report, also for one without entries."""
     is_entry = F.col("kind") == "entry"

@@ -16,6 +16,8 @@ from .snapshot import _path
 SCHEMA_VERSION = 3
 REGISTRY = "content_sha256 string, source string, kind string, units string, rows long, imported_at timestamp, schema_version int"
 
+REPORT_KINDS = ("parse_issue", "report_stats", "manifest")
+
 
 def registry(spark: SparkSession, store: str) -> DataFrame:
     p, fs = _path(spark, f"{store}/registry")
@@ -61,9 +63,20 @@ def import_report(spark: SparkSession, store: str, path: str, units: str = "deci
     """A text report: hashed first, parsed only if new."""
     content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha")).first()
     sha = content["sha"]
-    if not registry(spark, store).where((F.col("kind") == "manifest") & (F.col("content_sha256") == sha)).isEmpty():
+    if registry(spark, store).where(F.col("kind").isin(*REPORT_KINDS) & (F.col("content_sha256") == sha)).count() == len(REPORT_KINDS):
         return "ALREADY_IMPORTED"
-    return commit(spark, store, "manifest", report_lines.entries(report_lines.parse_lines(text_lines(spark, path), units)), path, sha, units)
+    return commit_report(spark, store, report_lines.parse_lines(text_lines(spark, path), units), path, sha, units)
+
+
+def commit_report(spark: SparkSession, store: str, parsed: DataFrame, source: str, sha: str, units: str) -> str:
+    """Parse issues and counts of a report, then its entries, so none are visible without the others."""
+    parsed = parsed.persist()
+    try:
+        commit(spark, store, "parse_issue", report_lines.parse_issues(parsed), source, sha, units)
+        commit(spark, store, "report_stats", report_lines.report_stats(parsed), source, sha, units)
+        return commit(spark, store, "manifest", report_lines.entries(parsed), source, sha, units)
+    finally:
+        parsed.unpersist()
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

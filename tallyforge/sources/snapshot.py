@@ -21,8 +21,8 @@ def _path(spark: SparkSession, name: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_snapshot(files: DataFrame, path: str, metadata: dict) -> dict:
-    """Parquet files, then the marker with counts: a snapshot without marker is incomplete. An existing path is refused."""
+def write_snapshot(files: DataFrame, path: str, metadata: dict, issues: DataFrame | None = None) -> dict:
+    """Parquet files and issues, then the marker with counts: a snapshot without marker is incomplete. An existing path is refused."""
     spark = files.sparkSession
     p, fs = _path(spark, path)
     if fs.exists(p):
@@ -30,6 +30,9 @@ def write_snapshot(files: DataFrame, path: str, metadata: dict) -> dict:
     files.write.parquet(f"{path}/files")
     got = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
     metadata = {**metadata, "files": got["n"], "bytes": got["b"]}
+    if issues is not None:
+        issues.write.parquet(f"{path}/issues")
+        metadata["issues"] = spark.read.parquet(f"{path}/issues").count()
     marker, _ = _path(spark, f"{path}/{MARKER}")
     out = fs.create(marker, False)
     out.write(bytearray(json.dumps(metadata, sort_keys=True).encode()))
@@ -50,3 +53,13 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if (n, b) != (metadata["files"], metadata["bytes"]) or distinct != n:
         raise ValueError(f"snapshot does not match its metadata: {path}")
     return files, metadata
+
+
+def read_issues(spark: SparkSession, path: str, metadata: dict) -> tuple[DataFrame, DataFrame]:
+    """(scan issues, (source_root, files) that the scan counted) of a snapshot that ``read_snapshot`` gave."""
+    if "issues" not in metadata or "root_files" not in metadata:
+        raise ValueError(f"snapshot without issues or counts by root, scan again: {path}")
+    issues = spark.read.parquet(f"{path}/issues")
+    if issues.count() != metadata["issues"]:
+        raise ValueError(f"snapshot does not match its metadata: {path}")
+    return issues, spark.createDataFrame(sorted(metadata["root_files"].items()), "source_root string, files long")

@@ -26,7 +26,7 @@ def import_batch(store: str, units: str):
         # one source a commit: the registry entry makes each visible; a batch has few files
         for r in fresh.dropDuplicates(["content_sha256"]).collect():
             one = landed.where(F.col("path") == r["source"])
-            registry.commit(spark, store, "manifest", lines.entries(lines.parse_lines(report_lines(one), units)), r["source"], r["content_sha256"], units)
+            registry.commit_report(spark, store, lines.parse_lines(report_lines(one), units), r["source"], r["content_sha256"], units)
 
     return run
 

@@ -187,3 +187,46 @@ def test_command_line(spark, tmp_path):
     assert main(["deletable-folders", store, str(tmp_path / "del")], spark) == "SAFE:1"
     assert (tmp_path / "del" / "safe_folders.nul").read_bytes() == os.fsencode(root) + b"/prj\0"
     assert main(["discover", store, str(tmp_path / "map.csv")], spark) == "FOLDERS:1"
+
+
+def test_unread_folders_are_never_safe(spark, tmp_path, monkeypatch):
+    from tallyforge import __main__ as cli
+
+    def run(name, read_error, lost=0):
+        root, store, snap = tmp_path / name / "src", str(tmp_path / name / "store"), str(tmp_path / name / "snap")
+        (root / "prj").mkdir(parents=True)
+        (root / "prj" / "card1.png").write_bytes(b"x" * 2000)
+        report = tmp_path / name / "r.txt"
+        report.write_text(REPORT)
+        found = filesystem.scan(spark, [str(root)])
+        if read_error:
+            found = found.unionByName(spark.createDataFrame([(str(root), None, None, None, b"prj/sub", "directory_read_error:PermissionError")], filesystem.FOUND))
+        monkeypatch.setattr(filesystem, "scan", lambda *_: found)
+        cli.main(["import-report", store, str(report)], spark)
+        cli.main(["scan", snap, str(root)], spark)
+        if lost:
+            read = snapshot.read_issues
+            monkeypatch.setattr(snapshot, "read_issues", lambda *a: (lambda i, e: (i, e.withColumn("files", F.col("files") + lost)))(*read(*a)))
+        cli.main(["import-scan", store, snap], spark)
+        monkeypatch.undo()
+        done = cli.main(["deletable-folders", store, str(tmp_path / name / "del")], spark)
+        return store, done, (tmp_path / name / "del" / "folder_report.csv").read_text(), (tmp_path / name / "del" / "safe_folders.nul").read_bytes()
+
+    assert run("clean", False)[1] == "SAFE:1"
+    for name, args, reason in (("error", (True,), "DIRECTORY_READ_ERROR"), ("short", (False, 1), "INCOMPLETE_CLASSIFICATION")):
+        store, done, report, safe = run(name, *args)
+        assert done == "SAFE:0" and safe == b"" and "BLOCKED" in report and reason in report
+    stats = registry.imported(spark, store, "report_stats").first()
+    issues = registry.imported(spark, store, "parse_issue")
+    assert stats.extracted_files == 5 and stats.issues == issues.count() > 0
+    assert issues.where("source_pdf is null or issue_type is null").isEmpty()
+
+
+def test_issues_query_blocks_safe_folders(spark):
+    from tallyforge.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    safe = {(r.source_root, r.folder_name) for r in QUERIES["folder_strict_decision"](spark, sf).where("decision = 'SAFE_TO_DELETE'").collect()}
+    got = {(r.source_root, r.folder_name): r for r in QUERIES["folder_decision_with_issues"](spark, sf).collect()}
+    assert all((got[k].decision == "SAFE_TO_DELETE") == (k[0].endswith("VIDEO0/SOURCE") and not k[1].startswith("prj_1")) for k in safe)
+    assert {"", "DIRECTORY_READ_ERROR", "INCOMPLETE_CLASSIFICATION"} <= {got[k].blocking_reasons for k in safe}
