@@ -92,3 +92,56 @@ def test_registry_is_complete():
 def test_secret_digest(spark):
     got = registry.QUERIES["op10_trigram_secrets"](spark, "/root/testdata/sf0.001").collect()
     assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() for r in got if not any(k in r.spans for k in ("code_host", "chat", "web", "maps", "payment", "private")))
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    from test_text_operators import brute_components, brute_lines
+
+    import corpus_pipeline as pipeline
+    from tallyforge.llm.linededup import MIN_WORDS
+
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 3000, n)]
+
+    passage = "\n".join(" ".join(prose(12)) for _ in range(6))
+    toxic, rows = set(), []
+    for i in range(500):
+        lines = [" ".join(prose(20)) for _ in range(4)]
+        if i % 5 == 0:
+            toxic.add(i)
+            lines[i % 4] += " foulword nastyterm vileterm"
+        elif i % 7 == 1:
+            lines[2:2] = passage.split("\n")
+        rows.append((i, "\n".join(lines)))
+    clean = [r for r in rows if r[0] not in toxic]
+    rows += [(1000 + k, clean[k][1].replace("\n", " ", 1) + f" x{k}") for k in range(40)]  # near copies
+    rows += [(2000 + k, passage) for k in range(3)] + [(3000, None), (3001, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    d = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows], schema)
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(pipeline.STAGES)
+
+    def after(name, docs):
+        out = spark.createDataFrame(stages[name](spark, docs, str(tmp_path)).collect(), schema)
+        return out, [(r.doc_id, r.text) for r in out.collect()]
+
+    d, got = after("toxicity", d)
+    want = [r for r in rows if r[0] not in toxic]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    cut = brute_lines([r for r in want if r[1] is not None], MIN_WORDS) | {3000: None}
+    want = [(i, cut[i]) for i, t in want if cut[i] == t or (cut[i] or "").split()]
+    assert 0 < sum(cut[i] != t for i, t in got) and len(want) < len(got)
+    d, got = after("line_dedup", d)
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert all(r.n_chars == len(r.text or "") for r in d.collect())
+    first = {c for _, n, c in brute_components(want) if n}
+    want = [(i, t) for i, t in want if i in first or not (t or "").split()]
+    assert len(want) < len(got)
+    d, got = after("near_duplicates", d)
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    d, got = after("mixing", d)
+    assert set(got) <= set(want)
+    packed = stages["packing"](spark, d, str(tmp_path)).toPandas()
+    assert sorted(packed[packed["piece"] == 0]["doc_id"]) == sorted(i for i, _ in got)
