@@ -248,15 +248,16 @@ def foreign_tokens(blobs: DataFrame, lists: bool, slices: int = 1) -> DataFrame:
     schema = "cls long, tokens binary, df binary" if lists else "slice long, classes binary, counts binary"
 
     def run(group: pa.Table) -> pa.Table:
-        tokens, owners, labels = [], [], []
+        tokens, owners, labels, blob = [], [], [], []
         for t, a, o, lb in zip(*(group.column(c).to_pylist() for c in ("tokens", "at", "owners", "labels")), strict=True):
             at = np.frombuffer(a, np.uint32)
             tokens.append(np.frombuffer(t, np.uint64 if lists else np.uint32))
             owners.append(np.frombuffer(o, np.int64)[at])
             labels.append(np.frombuffer(lb, np.int64)[at])
+            blob.append(np.full(len(at), len(blob), np.int32))
         tokens, owners, labels = np.concatenate(tokens), np.concatenate(owners), np.concatenate(labels)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners, labels = tokens[order], owners[order], labels[order]
+        by_token = np.argsort(tokens, kind="stable")
+        tokens, owners, labels = tokens[by_token], owners[by_token], labels[by_token]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         n = np.diff(np.concatenate([start, [len(tokens)]]))
         foreign = np.repeat(np.minimum.reduceat(labels, start) != np.maximum.reduceat(labels, start), n)
@@ -264,11 +265,14 @@ def foreign_tokens(blobs: DataFrame, lists: bool, slices: int = 1) -> DataFrame:
             df = np.repeat(n, n)[foreign].astype(np.uint32)
         tokens, owners = tokens[foreign], owners[foreign]
         if not lists:
-            # a class that several tasks read has its shingles once for each of them
+            # a class that several tasks read has its shingles once for each of them, whole in one
+            # blob; those of the first blob count, also two of them that agree in their short form
+            blob = np.concatenate(blob)[by_token][foreign]
             order = np.lexsort((tokens, owners))
-            tokens, owners = tokens[order], owners[order]
-            once = np.ones(len(owners), bool)
-            once[1:] = (owners[1:] != owners[:-1]) | (tokens[1:] != tokens[:-1])
+            tokens, owners, blob = tokens[order], owners[order], blob[order]
+            new = np.ones(len(owners), bool)
+            new[1:] = (owners[1:] != owners[:-1]) | (tokens[1:] != tokens[:-1])
+            once = blob == blob[np.flatnonzero(new)[np.cumsum(new) - 1]]
             who, count = np.unique(owners[once], return_counts=True)
             to = who % slices
             order = np.argsort(to, kind="stable")

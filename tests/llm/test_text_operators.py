@@ -102,6 +102,18 @@ def test_jaccard_large_blocks_meet(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+def test_shingles_that_agree_in_their_short_form_count_each(spark):
+    twins = np.array([(7 << 32) + 12, (7 << 32) + 24, 9 << 32], np.uint64)
+    task = [(1, 1, twins), (2, 2, twins)]
+    blobs = [b for rows in (task, task[:1]) for b in jaccard.dealt(iter(rows), 12, short=True)]
+    df = spark.createDataFrame([tuple(r.values()) for b in blobs for r in b.to_pylist()], jaccard.BLOBS)
+    got = defaultdict(int)
+    for r in jaccard.foreign_tokens(df, lists=False).collect():
+        for c, n in zip(np.frombuffer(r.classes, np.int64), np.frombuffer(r.counts, np.int64), strict=True):
+            got[int(c)] += int(n)
+    assert got == {1: 3, 2: 3}
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard.jaccard_components(docs(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "q"), (5, None)])).collect()
