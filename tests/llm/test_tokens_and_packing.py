@@ -3,8 +3,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyforge.llm import packing, quality
@@ -46,6 +48,17 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame(spark, []).limit(0)).count() == 0
 
 
+ENCODER = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+TRICKY = st.sampled_from([*"aZé'ÉßµÿÀ×÷.,;:!?$-_0 9\n\t", "\u00a0", "\u0301", "\x01", "\x1c", "\x85", "\u0130", "\u03a3", "\ufb01", "\u4e2d", "'ll", "<|", "<|endoftext|>", "...", "\U0001f600"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.lists(TRICKY, max_size=30).map("".join), st.text(max_size=12), st.none()), min_size=1, max_size=5))
+def test_encoder_equals_the_tokenizer(texts):
+    for t, ids in zip(texts, ENCODER.ids(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == ENCODER.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=12))
 def test_bound_is_below_every_packing(sizes):
@@ -69,6 +82,19 @@ def test_exchange_closes_gaps(spark):
     assert sorted(got["id"]) == list(range(len(sizes))) and bins.max() <= 4096
     alone = sum(packing.best_fit_decreasing(x, 4096)[1] for x in np.array_split(sizes, 16))
     assert packing.lower_bound(sizes, 4096) <= len(bins) <= alone
+    if len(bins) == packing.lower_bound(sizes, 4096):
+        assert got["certified"].all()
+
+
+def test_all_pieces_certified_when_the_count_meets_their_bound(spark):
+    sizes = np.repeat([1000, 3096, 2000, 2096], 500)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(sizes)), "length": sizes}), "id long, length long")
+    got = packing.pack(rows, per_partition=5000).toPandas()
+    bins = got.groupby(["round", "part", "bin"])["length"].sum()
+    assert len(bins) == 1000 and (bins == 4096).all() and got["certified"].all()
+    # no two of these fit one bin: every partition meets its bound at once
+    big = packing.pack(rows.withColumn("length", F.lit(2049).cast("long")), per_partition=300).toPandas()
+    assert big.groupby(["round", "part", "bin"]).size().max() == 1 and big["certified"].all()
 
 
 def brute_quality(text):
