@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard, linededup, mixing, reputation, secrets, sharding, toxicity
+from tallyforge.llm import common, jaccard, linededup, mixing, reputation, secrets, sharding, toxicity
 
 
 def docs(spark, rows, schema="doc_id long, text string"):
@@ -43,6 +45,57 @@ def test_toxicity_edges(spark):
     for m in (none, one):
         scores = [r.s for r in d.select(toxicity.toxicity_score(F.col("text"), m).alias("s")).collect()]
         assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
+        assert d.limit(0).select(toxicity.toxicity_score(F.col("text"), m)).count() == 0
+        twice = [r.s for r in d.union(d).select(toxicity.toxicity_score(F.col("text"), m).alias("s")).collect()]
+        assert sorted(twice) == sorted(scores + scores)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = docs(spark, [(i, "foul word here" if i % 2 else "fair word here") for i in range(40)])
+    plain = toxicity.train(rows, labels)
+    clash = toxicity.train(rows.union(rows).selectExpr("*", "1 AS id", "2 AS draw", "3 AS y", "4 AS f"), labels.union(labels))
+    assert plain.ids.tolist() == clash.ids.tolist() and plain.weights.tolist() == clash.weights.tolist() and len(plain.ids)
+    assert toxicity.train(rows.limit(0), labels).ids.tolist() == []
+
+
+def slow_ftrl(texts, labels, alpha=1.0, beta=1.0, l1=toxicity.L1, l2=0.5, epochs=toxicity.EPOCHS, seed=5):
+    """One coordinate at a time, no feature left out."""
+    z, n, rng = defaultdict(float), defaultdict(float), np.random.default_rng(seed)
+
+    def weight(f):
+        if f == "bias":
+            return -z[f] / ((beta + n[f] ** 0.5) / alpha)
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            own = [*texts[i].tolist(), "bias"]
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+            for f in own:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z if f != "bias" and weight(f)}, weight("bias")
+
+
+@pytest.mark.parametrize("l1", [0.5, 2.0, 8.0])
+def test_weights_equal_those_of_a_slow_learner(l1):
+    rng = np.random.default_rng(7)
+    texts = [np.unique(rng.zipf(1.5, 25) % 300).astype(np.uint32) for _ in range(250)]
+    labels = np.array([float(7 in t or 11 in t) for t in texts])
+    got = toxicity.learn(texts, labels, l1=l1)
+    want, bias = slow_ftrl(texts, labels, l1=l1)
+    assert dict(zip(got.ids.tolist(), got.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert got.bias == pytest.approx(bias) and want
+
+
+def test_a_model_that_is_too_large_is_learnt_anew(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [np.unique(rng.zipf(1.5, 25) % 300).astype(np.uint32) for _ in range(250)]
+    labels = np.array([float(7 in t or 11 in t) for t in texts])
+    whole = toxicity.learn(texts, labels, l1=1.0)
+    monkeypatch.setattr(toxicity, "MAX_WEIGHTS", len(whole.ids) - 1)
+    got = toxicity.learn(texts, labels, l1=1.0)
+    sizes = [len(slow_ftrl(texts, labels, l1=x)[0]) for x in (1.0, 2.0, 4.0, 8.0, 16.0)]
+    assert sizes[0] == len(whole.ids) and len(got.ids) == next(n for n in sizes if n < sizes[0])
 
 
 # --- 5 ---------------------------------------------------------------------------------------
@@ -258,13 +311,49 @@ def test_line_runs(spark):
         assert got == brute_lines(rows, least)
 
 
+def test_runs_of_other_lengths_are_no_copies(spark):
+    long = " ".join(f"w{x}" for x in range(60))
+    rows = [(1, "Title\n\n\n\n" + long), (2, "Title\n\n\n\n\n" + long)]
+    got = linededup.dedup_lines(docs(spark, rows)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 4] and got[1].text == "Title\n"
+    assert [(r["first"], r["last"]) for r in got[1].runs] == [(2, 6)]
+
+
+BLANKS = st.lists(st.sampled_from(["", "", "", "a b", "c", "a b c d e f"]), max_size=14).map("\n".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(BLANKS, min_size=2, max_size=12), st.integers(2, 7))
+def test_line_runs_with_many_blank_lines(spark, texts, least):
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows), min_words=least).collect()}
+    assert got == brute_lines(rows, least)
+
+
+def test_hot_lines_are_salted(spark):
+    rows = [(i, "\n" * (i % 7) + f"u{i} v w\n\n\nx y z") for i in range(300)]
+    kept = common.skew_join
+    linededup.skew_join = lambda *a: kept(*a, least=5)
+    try:
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows), min_words=3).collect()}
+    finally:
+        linededup.skew_join = kept
+    assert got == brute_lines(rows, 3)
+
+
 def test_line_run_edges(spark):
     text = "a b c\n\nd e f\n" + "x y z " * 10
     rows = [(1, text), (1, text), (2, None), (3, ""), (None, text), (4, text + "\nnew line")]
-    got = linededup.dedup_lines(docs(spark, rows).withColumn("runs", F.lit(1)), min_words=5).collect()
-    kept = sorted((str(r.doc_id), r.text, r.n_lines) for r in got)
-    assert kept == sorted([("1", "", 4), ("1", "", 4), ("2", None, 0), ("3", "", 1), ("None", text, 4), ("4", "new line", 5)], key=lambda x: (x[0], str(x[1]))) or len(kept) == 6
+    clashes = docs(spark, rows).selectExpr("*", "1 AS runs", "2 AS _runs", "3 AS _doc", "4 AS _DIGEST", "5 AS line")
+    got = linededup.dedup_lines(clashes, min_words=5)
+    assert got.columns == ["doc_id", "text", "_runs", "_doc", "_DIGEST", "line", "n_lines", "n_removed", "runs"]
+    kept = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in got.collect())
+    assert kept == sorted([("1", "", 4, 4), ("1", "", 4, 4), ("2", None, 0, 0), ("3", "", 1, 0), ("None", text, 4, 0), ("4", "new line", 5, 4)])
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
+    pool = [" ".join(f"q{x}" for x in range(k, k + 9)) for k in range(40)]
+    long = "\n".join(pool[k % 40] + f" {k // 40}" for k in range(20_000))
+    rows = [(1, long), (2, "own\n" + long + "\nend"), (3, pool[0] + " 0")]
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == {1: long, 2: "own\nend", 3: pool[0] + " 0"}
 
 
 # --- 10 --------------------------------------------------------------------------------------
