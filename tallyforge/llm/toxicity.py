@@ -3,7 +3,8 @@
 Features are 32-bit hashes of words, word pairs and pairs around one skipped word, present or
 not. One task learns from a bounded, seeded sample of labelled texts with per-coordinate rates;
 L1 leaves few weights that are not zero. Those go to the driver and with the scoring function
-to all tasks: at most ``MAX_WEIGHTS`` (hash, weight) pairs.
+to all tasks: at most ``MAX_WEIGHTS`` (hash, weight) pairs, 12 bytes each. A model with more is
+learnt again with twice the L1 until it fits; no weight is cut off.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, trim
 
 SAMPLE = 16_000  # most labelled texts that a model learns from (in expectation of the seeded draw)
 MAX_WEIGHTS = 200_000
-MIN_TEXTS = 3  # features of fewer sample texts are not learnt
+L1, EPOCHS = 8.0, 4
 PUNCTUATION = b".,;:!?\"'()[]{}|*#"
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 
 class Hashes(dict):
@@ -62,16 +63,17 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def learn(texts: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.5, epochs: int = 4, seed: int = 5) -> Model:
+def learn(texts: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = L1, l2: float = 0.5, epochs: int = EPOCHS, seed: int = 5) -> Model:
     """FTRL-proximal on binary features; ``texts`` are unique uint32 arrays in a fixed order."""
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1.0)
         return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(share / (1 - share))))
     vocabulary, n = np.unique(np.concatenate(texts), return_counts=True)
-    vocabulary = vocabulary[n >= MIN_TEXTS]
+    # a feature of n texts has n * epochs gradients, each below 1; up to l1 its weight never leaves 0
+    vocabulary = vocabulary[n * epochs > l1]
     rows = []
     for t in texts:
-        at = np.searchsorted(vocabulary, t)
+        at = np.searchsorted(vocabulary, t).astype(np.int32)
         at[at == len(vocabulary)] = 0
         rows.append(at[vocabulary[at] == t] if len(vocabulary) else at[:0])
     z, g2 = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)  # the last is the bias, without L1
@@ -98,7 +100,7 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta:
     w = weight(z[:-1], g2[:-1])
     keep = np.flatnonzero(w)
     if len(keep) > MAX_WEIGHTS:
-        keep = np.sort(keep[np.argsort(-np.abs(w[keep]), kind="stable")[:MAX_WEIGHTS]])
+        return learn(texts, labels, alpha, beta, 2 * l1, l2, epochs, seed)
     return Model(vocabulary[keep], w[keep], bias())
 
 
@@ -106,8 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """A model of the labelled texts.
 
     Of ``labels`` (doc_id, toxic) about ``sample`` ids are drawn by a hash of the id; an id
-    with several labels takes the greatest, with several texts the greatest text. Null labels
-    and ids are left out; without labels the model scores a constant.
+    with several labels takes the greatest, with several texts the greatest text, so repeated
+    rows count once. Null labels and ids are left out; a null text is an empty one; a very long
+    text is read whole. Without labels or documents, or with one kind of label, the model scores
+    a constant. Other columns, whatever their names, are ignored.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = saved(known.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 20))))
@@ -122,26 +126,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
         cache = Hashes()
         for b in batches:
             found = [np.unique(features(t, cache)).tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["id", "draw", "y", "f"])
+            columns = [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "draw", "y", "f"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        held = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (1, 0, 2, 3)), strict=True)]
         held.sort(key=lambda r: r[:3])
         m = learn([np.frombuffer(r[3], np.uint32) for r in held], np.array([r[2] for r in held], float))
         yield pa.RecordBatch.from_arrays([pa.array([m.ids.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias])], names=["ids", "weights", "bias"])
+        del held
+        trim()
 
     got = rows.mapInArrow(extract, "id long, draw long, y int, f binary").repartition(1).mapInArrow(fit, "ids binary, weights binary, bias double").first()
     return Model(np.frombuffer(bytes(got["ids"]), np.uint32), np.frombuffer(bytes(got["weights"]), np.float64), got["bias"])
 
 
 def toxicity_score(text: Column, model: Model) -> Column:
-    """The score of a text, 0 to 1; null is scored as an empty text."""
+    """The score of a text, 0 to 1.
+
+    Null and empty texts are scored as texts without words; a very long text is scored whole;
+    equal texts have equal scores, so repeated rows and ties agree; an empty table gives no rows.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = Hashes()
         for texts in batches:
             yield pd.Series([model.score(features(t, cache)) for t in texts], dtype="float64")
+        cache.clear()
+        trim()
 
     return score(text)
 
