@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hinted, n_words, saved, table
+from .common import fresh, hinted, n_words, saved, table
 
 BUCKET_HEX = 4  # 65,536 buckets of the draw order for each source
 
@@ -27,8 +27,10 @@ def draw_key(doc_id: Column, seed: int) -> Column:
 
 
 def water_level(sources: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
-    """(source, source_size) -> plus weight, target. Works on one row per source.
+    """(source, source_size) -> plus weight, target. Works on one row per source, all in one task.
 
+    Sources are a closed list of a corpus (at most some ten thousands); a column with a value
+    for each host or document is no source.
     Sources in code point order, null last, take ``weights`` in turn, again and again.
     """
     unit = 1
@@ -71,31 +73,40 @@ def mixing_plan(slim: DataFrame, weights: Sequence[int], max_epochs: int) -> tup
     return levels, saved(edge.where(2 * F.col("upto") + F.col("size") <= 2 * F.col("needed")).select("source", "doc_id"))
 
 
-def mix_sources(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+NAMES = ("size", "source_size", "target", "repeats", "taken")
+
+
+def mix_sources(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", names: Sequence[str] = NAMES) -> DataFrame:
     """``df`` with columns size, source_size, target, repeats and taken = size * repeats.
 
-    Rows that share id and source are drawn together, so repeated rows agree. A null or empty
-    text has size 0, a null source is a source of its own, an empty table gives no rows.
-    Columns of ``df`` with these names are replaced.
+    Rows that share id and source are drawn together, so repeated rows agree; equal keys of the
+    draw are ordered by id. A null or empty text has size 0, a very long one counts with all its
+    words, a null source is a source of its own, an empty table gives no rows. ``names`` are
+    those of the five new columns: columns of ``df`` with these names are replaced, all others,
+    whatever their names, stay as they are.
     """
-    new = ("size", "source_size", "target", "repeats", "taken")
-    df = df.drop(*[c for c in new if c in df.columns])
-    sized = df.withColumn("size", n_words(F.col(text)))
-    slim = saved(sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "size", draw_key(F.col(doc_id), seed).alias("key")))
+    df = df.drop(*[c for c in df.columns if c.lower() in names])
+    sized = df.withColumn(names[0], n_words(F.col(text)))
+    slim = saved(sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(names[0]).alias("size"), draw_key(F.col(doc_id), seed).alias("key")))
     levels, drawn = mixing_plan(slim, weights, max_epochs)
-    return apply_plan(sized, levels, drawn, max_epochs, seed, doc_id, source)
+    return apply_plan(sized, levels, drawn, max_epochs, seed, doc_id, source, names)
 
 
-def apply_plan(sized: DataFrame, levels: DataFrame, drawn: DataFrame, max_epochs: int, seed: int, doc_id: str, source: str) -> DataFrame:
-    cols = sized.columns
-    levels = levels.select(*[F.col(c).alias(f"_l_{c}") for c in levels.columns])
-    drawn = drawn.select(F.col("source").alias("_d_source"), F.col("doc_id").alias("_d_id"), F.lit(1).alias("_d"))
-    out = sized.join(hinted(levels), F.col(source).eqNullSafe(F.col("_l_source")))
-    out = out.join(hinted(drawn), F.col(source).eqNullSafe(F.col("_d_source")) & F.col(doc_id).eqNullSafe(F.col("_d_id")), "left")
+def apply_plan(sized: DataFrame, levels: DataFrame, drawn: DataFrame, max_epochs: int, seed: int, doc_id: str, source: str, names: Sequence[str] = NAMES) -> DataFrame:
+    own = dict(zip(levels.columns, fresh(sized, *[f"_{c}" for c in levels.columns]), strict=True))
+    d_source, d_id, d = fresh(sized, "_d_source", "_d_id", "_d")
+    levels = levels.select(*[F.col(c).alias(n) for c, n in own.items()])
+    drawn = drawn.select(F.col("source").alias(d_source), F.col("doc_id").alias(d_id), F.lit(1).alias(d))
+    out = sized.join(hinted(levels), F.col(source).eqNullSafe(F.col(own["source"])))
+    out = out.join(hinted(drawn), F.col(source).eqNullSafe(F.col(d_source)) & F.col(doc_id).eqNullSafe(F.col(d_id)), "left")
     bucket = F.substring(draw_key(F.col(doc_id), seed), 1, BUCKET_HEX)
-    extra = (F.col("_l_needed") > 0) & (F.col("_l_end_bucket").isNull() | (bucket < F.col("_l_end_bucket")) | F.col("_d").isNotNull())
-    repeats = F.least(F.col("_l_whole") + F.when(extra, 1).otherwise(0), F.lit(max_epochs)).cast("int")
-    return out.select(*cols, F.col("_l_source_size").alias("source_size"), F.col("_l_target").alias("target"), repeats.alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"))
+    extra = (F.col(own["needed"]) > 0) & (F.col(own["end_bucket"]).isNull() | (bucket < F.col(own["end_bucket"])) | F.col(d).isNotNull())
+    repeats = F.least(F.col(own["whole"]) + F.when(extra, 1).otherwise(0), F.lit(max_epochs)).cast("int")
+    size, source_size, target, times, taken = names
+    return out.select(
+        *sized.columns, F.col(own["source_size"]).alias(source_size), F.col(own["target"]).alias(target),
+        repeats.alias(times), (F.col(size) * repeats).cast("long").alias(taken),
+    )
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
