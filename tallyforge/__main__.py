@@ -120,7 +120,8 @@ def _import_cassette_map(spark, a):
 def _compare(spark, a):
     m, s = _inputs(spark, a.store)
     os.makedirs(a.out)
-    results = compare.all_results(m, s, not a.no_moved_check).persist()
+    done = classify.reconcile(m, s, not a.no_moved_check, texts=True)
+    results = compare.all_results(done).persist()
     sinks.write_csv(results, f"{a.out}/all_results.csv", ["relative_path", "status"])
     for name in sorted({r for routes in compare.ROUTES.values() for r in routes} | {"ambiguous"}):
         own = [st for st, routes in compare.ROUTES.items() if name in routes]
@@ -131,8 +132,8 @@ def _compare(spark, a):
     sinks.write_csv(compare.duplicate_storage(s), f"{a.out}/storage_duplicate_paths.csv", ["norm_path"])
     if not registry.registry(spark, a.store).where("kind = 'parse_issue'").isEmpty():
         sinks.write_csv(registry.imported(spark, a.store, "parse_issue").drop("content_sha256"), f"{a.out}/parse_issues.csv", ["source_pdf", "page", "issue_type"])
-    sinks.write_shell_list(compare.copy_list(m, s), "absolute_path", f"{a.out}/copy_list.txt")
-    totals = {r["metric"]: r["value"] for r in compare.summary(m, s, not a.no_moved_check).collect()}
+    sinks.write_shell_list(compare.copy_list(done), "absolute_path", f"{a.out}/copy_list.txt")
+    totals = {r["metric"]: r["value"] for r in compare.summary(done, m).collect()}
     sinks.write_json(totals, f"{a.out}/summary.json")
     results.unpersist()
     return f"PATHS:{totals.get('STORAGE_UNIQUE_PATHS', 0)}"
@@ -141,7 +142,7 @@ def _compare(spark, a):
 def _deletable(spark, a):
     m, s = _inputs(spark, a.store)
     os.makedirs(a.out)
-    facts = folders.folder_facts(classify.classify(m, s), m, *_scans(spark, a.store)).persist()
+    facts = folders.folder_facts(classify.reconcile(m, s), *_scans(spark, a.store)).persist()
     sinks.write_csv(folders.folder_report(facts), f"{a.out}/folder_report.csv", ["source_root", "folder_name"])
     simple = folders.simple_report(facts, a.tolerance_percent, a.tolerance_bytes)
     sinks.write_csv(simple, f"{a.out}/simple_report.csv", ["source_root", "folder_name"])

@@ -14,21 +14,36 @@ def size_interval(text: Column, mode: str = "decimal") -> Column:
 
     All whole byte counts that round to the shown value at its precision: with n digits-as-a-
     number, d decimals and unit m the edges are (2n - 1) m / (2 10^d) and (2n + 1) m / (2 10^d).
+    The text is matched once; products that fit are taken in longs, others in decimals.
     """
     base = {"decimal": 1000, "binary": 1024}[mode]
     rx = r"^\s*([0-9]+)(?:\.([0-9]+))?\s*(B|KB|MB|GB|TB)\s*$"
-    whole, part, unit = (F.regexp_extract(text, rx, i) for i in (1, 2, 3))
+    mark = "\x01"
+    parts = F.split(F.regexp_replace(text, rx, f"$1{mark}$2{mark}$3"), mark)
     big = "decimal(38,0)"
-    n = F.concat(whole, part).try_cast(big)
-    scale = F.rpad(F.lit("2"), F.length(part) + 1, "0").cast(big)
-    factor = F.lit(None).cast(big)
-    for i, u in enumerate(UNITS):
-        factor = F.when(unit == u, F.lit(str(base**i)).cast(big)).otherwise(factor)
-    low = _ceil_div(F.greatest((2 * n - 1).cast(big) * factor, F.lit(0)), scale)
-    high = F.greatest(low, _ceil_div((2 * n + 1).cast(big) * factor, scale) - 1)
-    exact = F.when(part.rlike("^0*$"), whole.try_cast("long"))
-    lo, hi = F.when(unit == "B", exact).otherwise(low), F.when(unit == "B", exact).otherwise(high)
-    return F.when(text.rlike(rx) & lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def edges(p: Column) -> Column:
+        whole, part, unit = p[0], p[1], p[2]
+        step = F.array_position(F.array(*[F.lit(u) for u in UNITS]), unit).cast("int")
+        digits = F.concat(whole, part)
+        exact = F.when(part.rlike("^0*$"), whole.try_cast("long"))
+        n, d = digits.try_cast("long"), F.length(part)
+        factor = F.element_at(F.array(*[F.lit(base**i) for i in range(len(UNITS))]), step)
+        scale = F.element_at(F.array(*[F.lit(2 * 10**i) for i in range(18)]), F.least(d, F.lit(17)) + 1)
+        low = F.greatest(F.call_function("div", (2 * n - 1) * factor + scale - 1, scale), F.lit(0))
+        high = F.greatest(low, F.call_function("div", (2 * n + 1) * factor + scale - 1, scale) - 1)
+        # 2n m < 2 10^(digits) 1.1 10^(3 units) stays below 2^63
+        fits = F.length(digits) + 3 * (step - 1) <= 18
+        n, factor = digits.try_cast(big), factor.cast(big)
+        scale = F.rpad(F.lit("2"), d + 1, "0").cast(big)
+        far_low = _ceil_div(F.greatest((2 * n - 1).cast(big) * factor, F.lit(0)), scale)
+        far_high = F.greatest(far_low, _ceil_div((2 * n + 1).cast(big) * factor, scale) - 1)
+        lo = F.when(unit == "B", exact).when(fits, low).otherwise(far_low)
+        hi = F.when(unit == "B", exact).when(fits, high).otherwise(far_high)
+        return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    matched = (F.size(parts) == 3) & ~F.contains(text, F.lit(mark))
+    return F.transform(F.array(F.when(matched, parts)), edges)[0]
 
 
 def _ceil_div(a: Column, b: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import sorted_join
-from ..functions.sizes import human_bytes
-from .classify import classify, manifest_groups, manifest_only, move_counts, move_sources
+from ..functions.sizes import human_bytes, within
+from .classify import Reconciled, move_sources
 
 MOVED = ("POSSIBLE_MOVED_WITHIN_TOP_FOLDER", "AMBIGUOUS_POSSIBLE_MOVE")
 
@@ -27,106 +26,86 @@ ROUTES = {
 }
 
 
-def representatives(classified: DataFrame) -> DataFrame:
-    """The first storage row of each path, by lower-cased root, then raw path."""
-    order = Window.partitionBy("norm_path").orderBy(F.lower("source_root"), "relative_path_bytes", "source_root")
-    return classified.withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
-
-
-def range_text() -> Column:
-    shown = F.concat(F.col("tape"), F.lit(":"), F.col("reported_size"), F.lit("["), F.col("size_min_bytes").cast("string"), F.lit("-"), F.col("size_max_bytes").cast("string"), F.lit("]"))
-    return F.when(F.col("size_known") == 1, shown).otherwise(F.concat(F.col("tape"), F.lit(":SIZE_UNKNOWN")))
-
-
-def manifest_texts(manifest: DataFrame) -> DataFrame:
-    """By path: tapes and report files (distinct, sorted) and the intervals in entry order, repeated ones included."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("entry_id", range_text().alias("t")))), lambda x: x["t"])
-    return manifest.groupBy("norm_path").agg(F.array_sort(F.collect_set("tape")).alias("tapes"), F.array_sort(F.collect_set("source_pdf")).alias("pdfs"), listed.alias("sizes"))
-
-
-def consumed_paths(reps: DataFrame, manifest: DataFrame, storage: DataFrame) -> DataFrame:
-    """Manifest-only paths that some representative's possible move accounts for."""
-    sources = move_sources(manifest_only(manifest_groups(manifest), storage))
-    _, spans = move_counts(reps.where(F.col("status").isin(*MOVED)), sources)
-    flat = sources.select("norm_path", F.col("first.norm_top_folder").alias("norm_top_folder"), F.col("first.norm_filename").alias("norm_filename"), "lo", "hi")
-    return flat.join(spans, ["norm_top_folder", "norm_filename", "lo", "hi"], "left_semi").select("norm_path")
-
-
-def missing_on_storage(manifest: DataFrame, storage: DataFrame, reps: DataFrame) -> DataFrame:
+def missing_on_storage(done: Reconciled) -> DataFrame:
     """Manifest-only groups that no move accounts for, with status."""
-    left = manifest_only(manifest_groups(manifest), storage).join(consumed_paths(reps, manifest, storage), "norm_path", "left_anti")
+    left = done.only.where("not consumed")
     return left.withColumn("status", F.when(F.col("zero_entries") == F.col("entries"), "ZERO_SIZE_LTO_ONLY").otherwise("MISSING_ON_STORAGE"))
 
 
-def zero_records(manifest: DataFrame, storage: DataFrame, reps: DataFrame) -> DataFrame:
+def zero_records(done: Reconciled) -> DataFrame:
     """Extra rows for paths with zero-size manifest records, moved ones left out."""
-    groups = manifest_groups(manifest).where("zero_entries > 0")
-    on = groups.join(storage.select("norm_path").distinct(), "norm_path", "left_semi").select("norm_path", "zero_entries", F.lit(1).alias("on_storage"))
-    off = missing_on_storage(manifest, storage, reps).where("zero_entries > 0").select("norm_path", "zero_entries", F.lit(0).alias("on_storage"))
+    on = done.firsts.where("zero_entries > 0").select("norm_path", "zero_entries", F.lit(1).alias("on_storage"))
+    off = missing_on_storage(done).where("zero_entries > 0").select("norm_path", "zero_entries", F.lit(0).alias("on_storage"))
     return on.unionByName(off)
 
 
-def all_results(manifest: DataFrame, storage: DataFrame, moved_check: bool = True) -> DataFrame:
-    """status, relative_path, storage_root, storage_size_bytes, storage_size_human, lto_tapes, lto_reported_sizes of every path."""
-    reps = representatives(classify(manifest, storage, moved_check))
-    texts = manifest_texts(manifest)
-    sources = move_sources(manifest_only(manifest_groups(manifest), storage))
+def all_results(done: Reconciled) -> DataFrame:
+    """status, relative_path, storage_root, storage_size_bytes, storage_size_human, lto_tapes, lto_reported_sizes of every path.
+
+    ``done`` has texts.
+    """
     # what a possible move refers to: all its compatible manifest paths, in path order
-    moved = reps.where(F.col("status").isin(*MOVED)).select("norm_path", "norm_top_folder", "norm_filename", "size_bytes")
-    from_ = sources.select(F.col("norm_path").alias("from_path"), F.col("first.norm_top_folder").alias("norm_top_folder"), F.col("first.norm_filename").alias("norm_filename"), "lo", "hi").join(texts.withColumnRenamed("norm_path", "from_path"), "from_path")
-    pairs = moved.join(from_, ["norm_top_folder", "norm_filename"]).where(F.col("size_bytes").between(F.col("lo"), F.col("hi")))
-    pairs = pairs.groupBy("norm_path").agg(F.array_sort(F.collect_list(F.struct("from_path", "tapes", "sizes"))).alias("f"))
-    pairs = pairs.select("norm_path", F.array_sort(F.array_distinct(F.flatten("f.tapes"))).alias("tapes"), F.flatten("f.sizes").alias("sizes"))
-    none = F.array().cast("array<string>")
-    direct = reps.where(~F.col("status").isin(*MOVED, "MISSING_ON_LTO")).select("norm_path").join(texts, "norm_path").select("norm_path", "tapes", "sizes")
-    known = direct.unionByName(pairs)
-    top = reps.join(known, "norm_path", "left").select(
-        "status", "relative_path", F.col("source_root").alias("storage_root"), F.col("size_bytes").alias("storage_size_bytes"), human_bytes(F.col("size_bytes")).alias("storage_size_human"),
-        F.array_join(F.coalesce("tapes", none), " | ").alias("lto_tapes"), F.array_join(F.coalesce("sizes", none), " | ").alias("lto_reported_sizes"),
+    first = done.firsts.withColumn("is_move", F.col("status").isin(*MOVED))
+    sources = move_sources(done.only).select(
+        F.col("norm_path").alias("from_path"), F.col("first.norm_top_folder").alias("norm_top_folder"), F.col("first.norm_filename").alias("norm_filename"),
+        F.col("lo").alias("from_lo"), F.col("hi").alias("from_hi"), F.col("tapes").alias("from_tapes"), F.col("sizes").alias("from_sizes"),
     )
-    rest = missing_on_storage(manifest, storage, reps).join(texts, "norm_path").select(
-        "status", F.col("first.relative_path").alias("relative_path"), F.lit("").alias("storage_root"), F.lit(None).cast("long").alias("storage_size_bytes"), F.lit("").alias("storage_size_human"),
-        F.array_join("tapes", " | ").alias("lto_tapes"), F.array_join("sizes", " | ").alias("lto_reported_sizes"),
+    moved = first.where("is_move").select("norm_path", "norm_top_folder", "norm_filename", "size_bytes", "status", "relative_path", "source_root")
+    pairs = moved.join(sources, ["norm_top_folder", "norm_filename"]).where(within(F.col("size_bytes"), F.col("from_lo"), F.col("from_hi")))
+    listed = F.array_sort(F.collect_list(F.struct("from_path", "from_tapes", "from_sizes")))
+    pairs = pairs.groupBy("norm_path", "status", "relative_path", "source_root", "size_bytes").agg(listed.alias("f"))
+    pairs = pairs.select("status", "relative_path", "source_root", "size_bytes", F.array_sort(F.array_distinct(F.flatten("f.from_tapes"))).alias("tapes"), F.flatten("f.from_sizes").alias("sizes"))
+    direct = first.where("not is_move").select("status", "relative_path", "source_root", "size_bytes", "tapes", "sizes")
+    rest = missing_on_storage(done).select("status", F.col("first.relative_path").alias("relative_path"), F.lit("").alias("source_root"), F.lit(None).cast("long").alias("size_bytes"), "tapes", "sizes")
+    text = lambda c: F.coalesce(F.array_join(c, " | "), F.lit(""))
+    return direct.unionByName(pairs).unionByName(rest).select(
+        "status", "relative_path", F.col("source_root").alias("storage_root"), F.col("size_bytes").alias("storage_size_bytes"), F.coalesce(human_bytes(F.col("size_bytes")), F.lit("")).alias("storage_size_human"),
+        text("tapes").alias("lto_tapes"), text("sizes").alias("lto_reported_sizes"),
     )
-    return top.unionByName(rest)
 
 
-def copy_list(manifest: DataFrame, storage: DataFrame) -> DataFrame:
-    """Files to copy: representatives that are missing on tape, by root and path."""
-    reps = representatives(classify(manifest, storage))
-    return reps.where(F.col("status") == "MISSING_ON_LTO").select(F.col("source_root"), "relative_path", "absolute_path", "size_bytes")
+def copy_list(done: Reconciled) -> DataFrame:
+    """Files to copy: first rows that are missing on tape, by root and path."""
+    return done.firsts.where(F.col("status") == "MISSING_ON_LTO").select("source_root", "relative_path", "absolute_path", "size_bytes")
 
 
-def summary(manifest: DataFrame, storage: DataFrame, moved_check: bool = True) -> DataFrame:
+def summary(done: Reconciled, manifest: DataFrame) -> DataFrame:
     """(metric, value): paths by status and totals."""
-    reps = representatives(classify(manifest, storage, moved_check))
-    only = missing_on_storage(manifest, storage, reps)
-    status = reps.select("status").unionByName(only.select("status")).unionByName(zero_records(manifest, storage, reps).select(F.lit("ZERO_SIZE_LTO_RECORD").alias("status")))
-    parts = [status.groupBy(F.col("status").alias("metric")).agg(F.count("*").alias("value"))]
-    m = manifest.agg(F.count("*").alias("LTO_MANIFEST_RECORDS"), F.countDistinct("norm_path").alias("LTO_UNIQUE_PATHS"))
-    s = storage.agg(F.count("*").alias("STORAGE_FILES"), F.countDistinct("norm_path").alias("STORAGE_UNIQUE_PATHS"), F.count_if(F.col("path_encoding_valid") == 0).alias("NON_UTF8_STORAGE_PATHS"))
-    d = [duplicate_paths(manifest).agg(F.count("*").alias("LTO_DUPLICATE_PATH_GROUPS")), duplicate_locations(manifest).agg(F.count("*").alias("DUPLICATE_MANIFEST_LOCATION_GROUPS")), duplicate_storage(storage).agg(F.count("*").alias("STORAGE_DUPLICATE_PATH_GROUPS")), reps.agg(F.count_if(F.col("status") == "MISSING_ON_LTO").alias("COPY_LIST_FILES"))]
-    for one in (m, s, *d):
-        parts.append(one.unpivot([], one.columns, "metric", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    one = done.meeting.where("is_first or stored is null")
+    count = lambda c: F.count_if(c)
+    totals = one.agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("LTO_MANIFEST_RECORDS"), count(F.col("entries") > 0).alias("LTO_UNIQUE_PATHS"), count(F.col("entries") > 1).alias("LTO_DUPLICATE_PATH_GROUPS"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("STORAGE_FILES"), F.count("stored").alias("STORAGE_UNIQUE_PATHS"), count(F.col("copies") > 1).alias("STORAGE_DUPLICATE_PATH_GROUPS"),
+    )
+    encoding = done.rows.agg(count(F.col("path_encoding_valid") == 0).alias("NON_UTF8_STORAGE_PATHS"))
+    places = manifest.groupBy("tape", "norm_path").agg(F.count("*").alias("n")).agg(count(F.col("n") > 1).alias("DUPLICATE_MANIFEST_LOCATION_GROUPS"))
+    missing = done.firsts.agg(count(F.col("status") == "MISSING_ON_LTO").alias("COPY_LIST_FILES"))
+    zero = zero_records(done).select(F.lit("ZERO_SIZE_LTO_RECORD").alias("status"))
+    status = done.firsts.select("status").unionByName(missing_on_storage(done).select("status")).unionByName(zero)
+    out = status.groupBy(F.col("status").alias("metric")).agg(F.count("*").alias("value"))
+    for part in (totals, encoding, places, missing):
+        out = out.unionByName(part.unpivot([], part.columns, "metric", "value"))
     return out
 
 
-def _ranges() -> Column:
-    text = F.concat(F.coalesce(F.col("size_min_bytes").cast("string"), F.lit("UNKNOWN")), F.lit(":"), F.coalesce(F.col("size_max_bytes").cast("string"), F.lit("UNKNOWN")))
-    return F.countDistinct(text)
-
-
 def duplicate_paths(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("norm_path").agg(F.min("relative_path").alias("example_relative_path"), F.count("*").alias("manifest_records"), F.countDistinct("tape").alias("tape_count"), sorted_join(F.col("tape")).alias("tapes"), _ranges().alias("distinct_size_ranges")).where("manifest_records > 1")
+    """Paths with several records. Records of one (path, interval) are summed first, so the counts of distinct values need no Expand."""
+    spans = manifest.groupBy("norm_path", "size_min_bytes", "size_max_bytes").agg(F.count("*").alias("n"), F.min("relative_path").alias("p"), F.collect_set("tape").alias("t"))
+    tapes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("t"))))
+    g = spans.groupBy("norm_path").agg(F.min("p").alias("example_relative_path"), F.sum("n").alias("manifest_records"), tapes.alias("t"), F.count("*").alias("distinct_size_ranges")).where("manifest_records > 1")
+    return g.select("norm_path", "example_relative_path", "manifest_records", F.size("t").cast("long").alias("tape_count"), F.array_join(F.array_remove("t", ""), " | ").alias("tapes"), "distinct_size_ranges")
 
 
 def duplicate_locations(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("tape", "norm_path").agg(F.min("relative_path").alias("example_relative_path"), F.count("*").alias("records"), sorted_join(F.col("source_pdf")).alias("source_pdfs"), _ranges().alias("distinct_size_ranges")).where("records > 1")
+    key = ["tape", "norm_path"]
+    spans = manifest.groupBy(*key, "size_min_bytes", "size_max_bytes").agg(F.count("*").alias("n"), F.min("relative_path").alias("p"), F.collect_set("source_pdf").alias("s"))
+    pdfs = F.array_join(F.array_sort(F.array_distinct(F.array_remove(F.flatten(F.collect_list("s")), ""))), " | ")
+    return spans.groupBy(*key).agg(F.min("p").alias("example_relative_path"), F.sum("n").alias("records"), pdfs.alias("source_pdfs"), F.count("*").alias("distinct_size_ranges")).where("records > 1")
 
 
 def duplicate_storage(storage: DataFrame) -> DataFrame:
-    paths = F.array_join(F.array_sort(F.collect_list("absolute_path")), " | ")
-    return storage.groupBy("norm_path").agg(F.min("relative_path").alias("example_relative_path"), F.count("*").alias("copies"), sorted_join(F.col("source_root")).alias("source_roots"), paths.alias("absolute_paths"), F.countDistinct("size_bytes").alias("distinct_sizes")).where("copies > 1")
+    sizes = storage.groupBy("norm_path", "size_bytes").agg(F.count("*").alias("n"), F.min("relative_path").alias("p"), F.collect_set("source_root").alias("r"), F.collect_list("absolute_path").alias("a"))
+    joined = lambda c: F.array_join(F.array_sort(c), " | ")
+    roots, paths = joined(F.array_distinct(F.flatten(F.collect_list("r")))), joined(F.flatten(F.collect_list("a")))
+    g = sizes.groupBy("norm_path").agg(F.min("p").alias("example_relative_path"), F.sum("n").alias("copies"), roots.alias("source_roots"), paths.alias("absolute_paths"), F.count("size_bytes").alias("distinct_sizes"))
+    return g.where("copies > 1")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizes import human_bytes, signed_human_bytes, tolerant
-from .classify import blocking_reasons, manifest_groups
+from ..lineage import saved
+from .classify import STATUS_REASON, Reconciled, blocking_reasons
 
 FOLDER = ["source_root", "top_raw"]
 TOTALS = ("path_count", "known_size_count", "unknown_size_count", "conflicting_size_path_count", "additional_identical_tape_copy_count", "total_min_bytes", "total_max_bytes")
@@ -21,32 +22,25 @@ def top_raw(path_bytes: Column) -> Column:
     return F.substring_index(path_bytes.cast("string"), "/", 1).cast("binary")
 
 
-def path_totals(manifest: DataFrame) -> DataFrame:
-    """One contribution for each manifest path: identical intervals once, conflicts and unknown sizes without bytes."""
-    copies = manifest.where("size_known = 1").groupBy("norm_path", "size_min_bytes", "size_max_bytes").agg((F.countDistinct("tape") - 1).alias("x")).groupBy("norm_path").agg(F.sum("x").alias("extra"))
-    one = F.col("ranges") == 1
-    g = manifest_groups(manifest).join(copies, "norm_path", "left")
-    return g.select(
-        "norm_path", F.col("first.norm_top_folder").alias("norm_top_folder"), one.cast("long").alias("known"), (F.col("unknown") > 0).cast("long").alias("unknown"), (F.col("ranges") > 1).cast("long").alias("conflict"),
-        F.coalesce("extra", F.lit(0)).alias("extra"), F.when(one, F.col("lo")).otherwise(0).alias("lo"), F.when(one, F.col("hi")).otherwise(0).alias("hi"),
-    )
-
+def path_totals(groups: DataFrame) -> DataFrame:
+    """One contribution for each manifest path: identical intervals once, conflicts and unknown sizes without bytes.
 
-def _sums() -> list[Column]:
-    return [c.cast("long").alias(n) for c, n in zip((F.count("*"), F.sum("known"), F.sum("unknown"), F.sum("conflict"), F.sum("extra"), F.sum("lo"), F.sum("hi")), TOTALS, strict=True)]
-
-
-def folder_paths(classified: DataFrame) -> DataFrame:
-    """Distinct (folder, path); shuffled by folder and path, so one huge folder spreads."""
-    return classified.withColumn("top_raw", top_raw(F.col("relative_path_bytes"))).select(*FOLDER, "norm_path").distinct()
+    ``groups`` has the columns of ``manifest_groups``, on one row for each path or on storage rows.
+    """
+    one = F.col("ranges") == 1
+    return groups.withColumns({
+        "t_known": one.cast("long"), "t_unknown": (F.col("unknown") > 0).cast("long"), "t_conflict": (F.col("ranges") > 1).cast("long"), "t_extra": F.col("extra"),
+        "t_lo": F.when(one, F.col("lo")).otherwise(0), "t_hi": F.when(one, F.col("hi")).otherwise(0),
+    })
 
 
-def matched_totals(classified: DataFrame, totals: DataFrame) -> DataFrame:
-    return folder_paths(classified).join(totals, "norm_path").groupBy(*FOLDER).agg(*_sums())
+PARTS = ("t_known", "t_unknown", "t_conflict", "t_extra", "t_lo", "t_hi")
 
 
-def manifest_totals(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("norm_top_folder").agg(*_sums())
+def manifest_totals(groups: DataFrame) -> DataFrame:
+    """Sums of all manifest paths by top folder."""
+    sums = [F.count("*"), *[F.sum(c) for c in PARTS]]
+    return path_totals(groups).groupBy(F.col("first.norm_top_folder").alias("norm_top_folder")).agg(*[c.cast("long").alias(n) for c, n in zip(sums, TOTALS, strict=True)])
 
 
 def interval_result(size: Column, prefix: str, empty: str) -> Column:
@@ -73,23 +67,42 @@ def folder_issues(folders: DataFrame, issues: DataFrame) -> DataFrame:
     return every.join(counted.groupBy(*FOLDER).agg(F.array_sort(F.collect_set("issue_type")).alias("issue_types"), F.sum("n").alias("issue_count")), FOLDER, "left")
 
 
-def folder_facts(classified: DataFrame, manifest: DataFrame, issues: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+#: What can keep files of a folder from being deleted.
+FILE_REASONS = tuple(sorted({*STATUS_REASON.values()}))
+
+
+def folder_facts(done: Reconciled, issues: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """One row for each folder with all counts that both verdicts need.
 
     issues: scan issues; expected: (source_root, files) that the scans counted. A root whose
-    rows are not as many as expected makes all its folders incomplete.
+    rows are not as many as expected makes all its folders incomplete. Rows are summed by
+    (folder, path) first, so one huge folder spreads over tasks and a path counts once.
     """
-    rows = classified.withColumns({"top_raw": top_raw(F.col("relative_path_bytes")), "reasons": blocking_reasons()})
-    is_ = lambda s: F.count_if(F.col("status") == s)
+    rows = path_totals(done.rows).withColumns({"top_raw": top_raw(F.col("relative_path_bytes")), "reasons": blocking_reasons()})
+    is_ = lambda s: F.col("status") == s
     odd = (~F.col("verified") & (F.size("reasons") == 0)) | (F.length("top_raw") == 0)
-    facts = rows.groupBy(*FOLDER).agg(
-        F.min("norm_top_folder").alias("norm_top_folder"), F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_size"), F.count_if("verified").alias("verified_count"), is_("MATCH").alias("matches"),
-        is_("MATCH_PATH_ONLY_SIZE_UNKNOWN").alias("unknown_matches"), is_("SIZE_MISMATCH").alias("size_mismatches"), F.count_if(F.col("status").isin(*AMBIGUOUS)).alias("ambiguous"),
-        F.count_if(F.col("size_bytes") == 0).alias("zero_files"), F.count_if(F.col("path_encoding_valid") == 0).alias("invalid_encoding"), F.count_if(odd).alias("odd"),
+    counted = {
+        "verified_count": F.col("verified"), "matches": is_("MATCH"), "unknown_matches": is_("MATCH_PATH_ONLY_SIZE_UNKNOWN"), "size_mismatches": is_("SIZE_MISMATCH"), "ambiguous": F.col("status").isin(*AMBIGUOUS),
+        "zero_files": F.col("size_bytes") == 0, "invalid_encoding": F.col("path_encoding_valid") == 0, "odd": odd,
+    }
+    listed = F.col("entries") > 0
+    own_top = F.col("first.norm_top_folder") == F.col("norm_top_folder")
+    paths = rows.groupBy(*FOLDER, "norm_path").agg(
+        F.min("norm_top_folder").alias("norm_top_folder"), F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_size"), *[F.count_if(c).alias(n) for n, c in counted.items()],
+        *[F.max(F.array_contains("reasons", r)).alias(f"r_{r}") for r in FILE_REASONS],
+        F.max(F.when(listed, 1).otherwise(0)).alias("listed"), F.max(F.when(listed & own_top, 1).otherwise(0)).alias("in_top"), *[F.max(F.when(listed, F.col(c))).alias(c) for c in PARTS],
+    )
+    matched = [F.sum("listed"), *[F.sum(c) for c in PARTS]]
+    facts = paths.groupBy(*FOLDER).agg(
+        F.min("norm_top_folder").alias("norm_top_folder"), *[F.sum(c).alias(c) for c in ("file_count", "total_size", *counted)],
+        F.array_compact(F.array(*[F.when(F.max(f"r_{r}"), r) for r in FILE_REASONS])).alias("file_reasons"),
+        *[c.cast("long").alias(f"matched_{n}") for c, n in zip(matched, TOTALS, strict=True)], F.count("*").alias("storage_paths"), F.sum("in_top").cast("long").alias("covered"),
     )
-    reasons = rows.select(*FOLDER, F.explode("reasons").alias("r")).groupBy(*FOLDER).agg(F.collect_set("r").alias("file_reasons"))
-    facts = facts.join(reasons, FOLDER, "left")
     none = F.array().cast("array<string>")
+    if expected is not None:
+        facts = saved(facts)
+        actual = facts.groupBy("source_root").agg(F.sum("file_count").alias("actual"))
+        short = short_roots(expected, actual).select("source_root", "short")
     if issues is None:
         facts = facts.withColumns({"issue_types": none, "issue_count": F.lit(0).cast("long")})
     else:
@@ -98,21 +111,21 @@ def folder_facts(classified: DataFrame, manifest: DataFrame, issues: DataFrame |
     if expected is None:
         facts = facts.withColumn("short", F.lit(False))
     else:
-        actual = classified.groupBy("source_root").agg(F.count("*").alias("actual"))
-        short = expected.join(actual, "source_root", "left").select("source_root", (F.coalesce("actual", F.lit(0)) != F.col("files")).alias("short"))
         facts = facts.join(short, "source_root", "left").withColumn("short", F.coalesce("short", F.lit(False)))
-    totals = path_totals(manifest)
-    m = matched_totals(classified, totals).select(*FOLDER, *[F.col(n).alias(f"matched_{n}") for n in TOTALS])
-    w = manifest_totals(totals).select("norm_top_folder", *[F.col(n).alias(f"manifest_{n}") for n in TOTALS])
-    paths = folder_paths(classified).join(totals.select("norm_path", F.col("norm_top_folder").alias("path_top")), "norm_path", "left")
-    tops = facts.select(*FOLDER, "norm_top_folder")
-    covered = paths.join(tops, FOLDER).groupBy(*FOLDER).agg(F.count("*").alias("storage_paths"), F.count_if(F.col("path_top") == F.col("norm_top_folder")).alias("covered"))
-    facts = facts.join(m, FOLDER, "left").join(w, "norm_top_folder", "left").join(covered, FOLDER, "left")
+    groups = done.meeting.where("entries > 0 and (is_first or stored is null)")
+    w = manifest_totals(groups).select("norm_top_folder", *[F.col(n).alias(f"manifest_{n}") for n in TOTALS])
+    facts = facts.join(w, "norm_top_folder", "left")
     numbers = [c for c, t in facts.dtypes if t == "bigint"]
     facts = facts.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers} | {"file_reasons": F.coalesce("file_reasons", none), "issue_types": F.coalesce("issue_types", none)})
     return facts.withColumns({"storage_only": F.col("storage_paths") - F.col("covered"), "lto_only": F.col("manifest_path_count") - F.col("covered")})
 
 
+def short_roots(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(source_root, expected, actual, short) of (source_root, files) that scans counted and (source_root, actual) rows."""
+    rows = expected.join(actual, "source_root", "left").select("source_root", F.col("files").alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual"))
+    return rows.withColumn("short", F.col("actual") != F.col("expected"))
+
+
 def strict_decision(facts: DataFrame) -> DataFrame:
     """SAFE_TO_DELETE only if every file is verified and nothing at all speaks against it."""
     incomplete = F.when((F.col("odd") > 0) | F.col("short"), F.array(F.lit("INCOMPLETE_CLASSIFICATION"))).otherwise(F.array().cast("array<string>"))

@@ -213,24 +213,22 @@ UNION ALL SELECT ml.status, ml.path, '', NULL, '', array_to_string(tx.tapes, ' |
 
 @query("compare_all_results", sql.classified("").rstrip() + _TEXTS)
 def compare_all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.all_results(*_both(spark, sf_dir))
+    return compare.all_results(classify.reconcile(*_both(spark, sf_dir), texts=True))
 
 
 @query("missing_on_storage", sql.classified("SELECT path AS norm_path, status, n AS entries FROM ml"))
 def missing_on_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, s = _both(spark, sf_dir)
-    return compare.missing_on_storage(m, s, compare.representatives(classify.classify(m, s))).select("norm_path", "status", "entries")
+    return compare.missing_on_storage(classify.reconcile(*_both(spark, sf_dir))).select("norm_path", "status", "entries")
 
 
 @query("zero_size_records", sql.classified("SELECT path AS norm_path, nz AS zero_entries, on_storage FROM zr"))
 def zero_size_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, s = _both(spark, sf_dir)
-    return compare.zero_records(m, s, compare.representatives(classify.classify(m, s)))
+    return compare.zero_records(classify.reconcile(*_both(spark, sf_dir)))
 
 
 @query("copy_list", sql.classified("SELECT source_root, path AS relative_path, source_root || '/' || path AS absolute_path, size AS size_bytes FROM rp WHERE status = 'MISSING_ON_LTO'"))
 def copy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.copy_list(*_both(spark, sf_dir))
+    return compare.copy_list(classify.reconcile(*_both(spark, sf_dir)))
 
 
 _SUMMARY = """
@@ -243,7 +241,8 @@ UNION ALL SELECT 'COPY_LIST_FILES', count(*) FROM rp WHERE status = 'MISSING_ON_
 
 @query("compare_summary", sql.classified(_SUMMARY))
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.summary(*_both(spark, sf_dir))
+    m, s = _both(spark, sf_dir)
+    return compare.summary(classify.reconcile(m, s), m)
 
 
 def _line_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,13 +278,12 @@ def storage_duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, s = _both(spark, sf_dir)
-    return folders.folder_facts(classify.classify(m, s), m)
+    return folders.folder_facts(classify.reconcile(*_both(spark, sf_dir)))
 
 
 @query("folder_size_totals", sql.folders("SELECT top AS norm_top_folder, pc AS path_count, CAST(kc AS BIGINT) AS known_size_count, CAST(uc AS BIGINT) AS unknown_size_count, CAST(cc AS BIGINT) AS conflicting_size_path_count, CAST(xc AS BIGINT) AS additional_identical_tape_copy_count, CAST(lo AS BIGINT) AS total_min_bytes, CAST(hi AS BIGINT) AS total_max_bytes FROM wt"))
 def folder_size_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folders.manifest_totals(folders.path_totals(derived.manifest(spark, sf_dir)))
+    return folders.manifest_totals(classify.manifest_groups(derived.manifest(spark, sf_dir)))
 
 
 _WHY = "CASE WHEN odd > 0 THEN list_sort(list_distinct(list_append(reasons, 'INCOMPLETE_CLASSIFICATION'))) ELSE reasons END"
@@ -308,7 +306,7 @@ def folder_decision_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, s = _both(spark, sf_dir)
     issues = s.where(F.col("top_folder").startswith("prj_1")).select("source_root", F.concat_ws("/", "source_root", "top_folder", F.lit("new0")).alias("path"), F.lit("directory_read_error").alias("issue_type"), F.lit("").alias("details"))
     expected = s.groupBy("source_root").agg((F.count("*") + F.when(F.col("source_root").endswith("VIDEO1/SOURCE"), 1).otherwise(0)).alias("files"))
-    facts = folders.folder_facts(classify.classify(m, s), m, issues, expected)
+    facts = folders.folder_facts(classify.reconcile(m, s), issues, expected)
     return folders.folder_report(facts).select("source_root", "folder_name", "decision", "blocking_reasons", "scan_issue_types")
 
 

@@ -42,12 +42,13 @@ def test_classification(spark):
 def test_comparison_consumes_moves(spark):
     s = storage(spark, [("b", "P/new/f.mov", 100), ("a", "P/x", 5), ("b", "P/x", 5), ("a", "P/gone", 1)])
     m = manifest(spark, [("P/old/f.mov", 100, 100, "T1"), ("P/x", 5, 5, "T1"), ("P/x", 5, 5, "T1"), ("P/left", 9, 9, "T2"), ("P/zero", 0, 0, "T2")])
-    got = {r.relative_path: r for r in compare.all_results(m, s).collect()}
+    done = classify.reconcile(m, s, texts=True)
+    got = {r.relative_path: r for r in compare.all_results(done).collect()}
     assert {p: r.status for p, r in got.items()} == {"P/new/f.mov": "POSSIBLE_MOVED_WITHIN_TOP_FOLDER", "P/x": "MATCH", "P/gone": "MISSING_ON_LTO", "P/left": "MISSING_ON_STORAGE", "P/zero": "ZERO_SIZE_LTO_ONLY"}
     assert got["P/x"].storage_root == "a" and got["P/x"].lto_reported_sizes == "T1:5 B[5-5] | T1:5 B[5-5]" and got["P/x"].lto_tapes == "T1"
-    totals = {r.metric: r.value for r in compare.summary(m, s).collect()}
+    totals = {r.metric: r.value for r in compare.summary(done, m).collect()}
     assert totals["MATCH"] == 1 and totals["STORAGE_FILES"] == 4 and totals["ZERO_SIZE_LTO_RECORD"] == 1 and totals["DUPLICATE_MANIFEST_LOCATION_GROUPS"] == 1
-    assert [r.relative_path for r in compare.copy_list(m, s).collect()] == ["P/gone"]
+    assert [r.relative_path for r in compare.copy_list(done).collect()] == ["P/gone"]
 
 
 FOLDERS = [
@@ -65,7 +66,7 @@ FOLDERS = [
 def test_folder_verdicts(spark, name, sizes, spans, percent, most, decision, result, reason):
     s = storage(spark, [("/r", f"{name}/f{i}", x) for i, x in enumerate(sizes)])
     m = manifest(spark, [(f"{name}/f{i}", *(x or (None, None)), "T1") for i, x in enumerate(spans)])
-    facts = folders.folder_facts(classify.classify(m, s), m)
+    facts = folders.folder_facts(classify.reconcile(m, s))
     assert [r.decision for r in folders.strict_decision(facts).collect()] == [decision]
     r = folders.simple_report(facts, percent, most).first()
     assert (r.result, r.reason) == (result, reason)
@@ -78,7 +79,7 @@ def test_folder_totals_and_issues(spark):
     m = manifest(spark, [("A/x", 100, 110, "T1"), ("A/x", 100, 110, "T2"), ("A/y", 200, 210, "T1"), ("A/q", 1, 1, "T1"), ("A/q", 2, 2, "T1"), ("A/u", 5, 5, "T1"), ("A/u", None, None, "T2")])
     issues = spark.createDataFrame([("/r", "/r/A/sub", "symlink_skipped", ""), ("/r", "/r", "directory_read_error", ""), ("/r", "/r/C", "special", ""), ("/r", "/r/A/n", "non_utf8_filesystem_name", "")], "source_root string, path string, issue_type string, details string")
     expected = spark.createDataFrame([("/r", 4)], "source_root string, files long")
-    facts = folders.folder_facts(classify.classify(m, s), m, issues, expected)
+    facts = folders.folder_facts(classify.reconcile(m, s), issues, expected)
     got = {r.folder_name: r for r in folders.folder_report(facts).collect()}
     a = got["A"]
     assert (a.lto_total_min_bytes, a.lto_total_max_bytes, a.lto_total_size_midpoint_bytes, a.storage_minus_lto_min_human, a.storage_minus_lto_max_human) == (300, 320, 310, "+10 B", "-10 B")
