@@ -25,12 +25,17 @@ def range_text() -> Column:
     return F.when(F.col("size_known") == 1, shown).otherwise(F.concat(F.col("tape"), F.lit(":SIZE_UNKNOWN")))
 
 
+def all_tapes(lists: str) -> Column:
+    """Aggregate: the distinct tapes of several lists, sorted. Labels are a closed list, so few lists differ."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(lists))))
+
+
 def manifest_groups(manifest: DataFrame, texts: bool = False) -> DataFrame:
     """One row for each manifest path.
 
-    Counts, the single known interval (lo, hi), duplicate kind, additional identical tape copies
-    and the first entry's keys; with ``texts`` also the sorted tapes and the shown intervals in
-    entry order. Entries of one path and interval are first summed by themselves, so no count
+    Counts, the single known interval (lo, hi), duplicate kind, additional identical tape copies,
+    the sorted tapes and the first entry's keys; with ``texts`` also the shown intervals in entry
+    order. Entries of one path and interval are first summed by themselves, so no count
     of distinct values multiplies the rows.
     """
     interval = ["norm_path", "size_known", "size_min_bytes", "size_max_bytes"]
@@ -43,7 +48,7 @@ def manifest_groups(manifest: DataFrame, texts: bool = False) -> DataFrame:
     known = F.col("size_known") == 1
     zero = known & (F.col("size_min_bytes") == 0) & (F.col("size_max_bytes") == 0)
     total = lambda c, v: F.sum(F.when(c, v).otherwise(0)).cast("long")
-    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("tapes")))).alias("tapes"), F.transform(F.array_sort(F.flatten(F.collect_list("shown"))), lambda x: x["t"]).alias("sizes")] if texts else []
+    more = [F.transform(F.array_sort(F.flatten(F.collect_list("shown"))), lambda x: x["t"]).alias("sizes")] if texts else []
     g = spans.groupBy("norm_path").agg(
         F.sum("n").alias("entries"),
         total(known, F.col("n")).alias("known"),
@@ -54,6 +59,7 @@ def manifest_groups(manifest: DataFrame, texts: bool = False) -> DataFrame:
         total(zero, F.col("n")).alias("zero_entries"),
         total(known, F.size("tapes") - 1).alias("extra"),
         F.min_by("keys", "id").alias("first"),
+        all_tapes("tapes").alias("tapes"),
         *more,
     )
     kind = F.when(F.col("entries") <= 1, "none").when(F.col("ranges") > 1, "conflicting_known_intervals").when(F.col("unknown") > 0, "contains_unknown_size").otherwise("identical")
@@ -128,7 +134,7 @@ def move_pairs(pending: DataFrame, candidates: DataFrame) -> DataFrame:
     paths = pending.groupBy(*KEY, "size_bytes", "norm_path").agg(F.max("is_first").alias("is_first"))
     sizes = paths.groupBy(*KEY, "size_bytes").agg(F.count("*").alias("paths"), F.max("is_first").alias("has_first"))
     spans = candidates.groupBy(F.col("first.norm_top_folder").alias(KEY[0]), F.col("first.norm_filename").alias(KEY[1]), "lo", "hi")
-    spans = spans.agg(F.count("*").alias("n"), F.sum("entries").alias("e"), F.min("norm_path").alias("one_path"))
+    spans = spans.agg(F.count("*").alias("n"), F.sum("entries").alias("e"), F.min("norm_path").alias("one_path"), all_tapes("tapes").alias("tapes"))
     pairs = sizes.join(spans, KEY).where(within(F.col("size_bytes"), F.col("lo"), F.col("hi")))
     return pairs.withColumn("claimed", F.sum("paths").over(Window.partitionBy(*KEY, "lo", "hi")))
 
@@ -140,20 +146,22 @@ def move_sources(only: DataFrame) -> DataFrame:
 def reconcile(manifest: DataFrame, storage: DataFrame, moved_check: bool = True, texts: bool = False) -> Reconciled:
     """Storage rows classified against the manifest, and the manifest paths that storage lacks.
 
-    With ``texts`` rows and manifest-only paths also carry tapes and shown intervals.
+    matched_entries and matched_tapes are those of the row's path, or of the paths that it may
+    have moved from. With ``texts`` rows and manifest-only paths also carry the shown intervals.
     """
     both = with_copies(storage).withColumn("stored", F.lit(True)).join(manifest_groups(manifest, texts), "norm_path", "full")
     both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS})
     both = both.withColumn("lto_duplicate_kind", F.coalesce("lto_duplicate_kind", F.lit("none")))
     meeting = saved(both.withColumn("status", F.when(F.col("stored"), _direct_status())))
     rows = meeting.where("stored").drop("stored")
-    only = meeting.where("stored is null").select("norm_path", *COUNTS, "lo", "hi", "first", "lto_duplicate_kind", *(("tapes", "sizes") if texts else ()))
+    rows = rows.withColumns({"matched_entries": F.col("entries"), "matched_tapes": F.col("tapes")})
+    only = meeting.where("stored is null").select("norm_path", *COUNTS, "lo", "hi", "first", "lto_duplicate_kind", "tapes", *(("sizes",) if texts else ()))
     direct, pending = rows.where(F.col("status") != PENDING), rows.where(F.col("status") == PENDING)
     if moved_check:
         pairs = saved(move_pairs(pending, move_sources(only)))
         by_size = pairs.groupBy(*KEY, "size_bytes").agg(
             F.sum("n").alias("move_candidates"), F.sum("e").alias("move_entries"), F.count("*").alias("move_ranges"),
-            (F.max("claimed") > 1).alias("many_to_one"), F.min("one_path").alias("from_path"),
+            (F.max("claimed") > 1).alias("many_to_one"), F.min("one_path").alias("from_path"), all_tapes("tapes").alias("move_tapes"),
         )
         pending = pending.join(by_size, [*KEY, "size_bytes"], "left")
         found, one = F.col("move_candidates"), (F.col("move_candidates") == 1) & ~F.col("many_to_one")
@@ -161,7 +169,8 @@ def reconcile(manifest: DataFrame, storage: DataFrame, moved_check: bool = True,
         # a moved row's entries are those of its candidates
         kind = F.when(found.isNull(), F.col("lto_duplicate_kind")).when(F.col("move_entries") <= 1, "none").when(F.col("move_ranges") > 1, "conflicting_known_intervals").otherwise("identical")
         pending = pending.withColumns({"status": status, "lto_duplicate_kind": kind, "moved_from": F.when(one, F.col("from_path"))})
-        pending = pending.drop("move_candidates", "move_entries", "move_ranges", "many_to_one", "from_path")
+        pending = pending.withColumns({"matched_entries": F.coalesce("move_entries", "matched_entries"), "matched_tapes": F.coalesce("move_tapes", "matched_tapes")})
+        pending = pending.drop("move_candidates", "move_entries", "move_ranges", "many_to_one", "from_path", "move_tapes")
         spans = pairs.where("has_first").select(F.col(KEY[0]).alias("t"), F.col(KEY[1]).alias("f"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.lit(True).alias("consumed")).distinct()
         single = (F.col("ranges") == 1) & (F.col("unknown") == 0)
         same = single & (F.col("first.norm_top_folder") == F.col("t")) & (F.col("first.norm_filename") == F.col("f")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))

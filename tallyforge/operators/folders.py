@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import human_bytes, signed_human_bytes, tolerant
 from ..lineage import saved
-from .classify import STATUS_REASON, Reconciled, blocking_reasons
+from .classify import STATUS_REASON, Reconciled, all_tapes, blocking_reasons
 
 FOLDER = ["source_root", "top_raw"]
 TOTALS = ("path_count", "known_size_count", "unknown_size_count", "conflicting_size_path_count", "additional_identical_tape_copy_count", "total_min_bytes", "total_max_bytes")
@@ -71,6 +71,15 @@ def folder_issues(folders: DataFrame, issues: DataFrame) -> DataFrame:
 FILE_REASONS = tuple(sorted({*STATUS_REASON.values()}))
 
 
+STATUSES = tuple(sorted({"MATCH", *STATUS_REASON} - {"ZERO_SIZE_LTO_RECORD"}))
+
+
+def _counts_json() -> Column:
+    """Aggregate of the status columns: {"MATCH": 2, ...} with the statuses that occur, sorted."""
+    shown = [F.when(F.sum(f"s_{s}") > 0, F.concat(F.lit(f'"{s}": '), F.sum(f"s_{s}").cast("string"))) for s in STATUSES]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*shown)), ", "), F.lit("}"))
+
+
 def folder_facts(done: Reconciled, issues: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """One row for each folder with all counts that both verdicts need.
 
@@ -89,13 +98,14 @@ def folder_facts(done: Reconciled, issues: DataFrame | None = None, expected: Da
     own_top = F.col("first.norm_top_folder") == F.col("norm_top_folder")
     paths = rows.groupBy(*FOLDER, "norm_path").agg(
         F.min("norm_top_folder").alias("norm_top_folder"), F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_size"), *[F.count_if(c).alias(n) for n, c in counted.items()],
-        *[F.max(F.array_contains("reasons", r)).alias(f"r_{r}") for r in FILE_REASONS],
+        *[F.max(F.array_contains("reasons", r)).alias(f"r_{r}") for r in FILE_REASONS], *[F.count_if(is_(s)).alias(f"s_{s}") for s in STATUSES], F.sum("matched_entries").alias("lto_copy_count"), F.first("matched_tapes").alias("tapes"),
         F.max(F.when(listed, 1).otherwise(0)).alias("listed"), F.max(F.when(listed & own_top, 1).otherwise(0)).alias("in_top"), *[F.max(F.when(listed, F.col(c))).alias(c) for c in PARTS],
     )
     matched = [F.sum("listed"), *[F.sum(c) for c in PARTS]]
     facts = paths.groupBy(*FOLDER).agg(
         F.min("norm_top_folder").alias("norm_top_folder"), *[F.sum(c).alias(c) for c in ("file_count", "total_size", *counted)],
         F.array_compact(F.array(*[F.when(F.max(f"r_{r}"), r) for r in FILE_REASONS])).alias("file_reasons"),
+        F.sum("lto_copy_count").alias("lto_copy_count"), F.array_join(all_tapes("tapes"), " | ").alias("lto_tapes"), _counts_json().alias("classification_counts"),
         *[c.cast("long").alias(f"matched_{n}") for c, n in zip(matched, TOTALS, strict=True)], F.count("*").alias("storage_paths"), F.sum("in_top").cast("long").alias("covered"),
     )
     none = F.array().cast("array<string>")
@@ -116,6 +126,7 @@ def folder_facts(done: Reconciled, issues: DataFrame | None = None, expected: Da
     w = manifest_totals(groups).select("norm_top_folder", *[F.col(n).alias(f"manifest_{n}") for n in TOTALS])
     facts = facts.join(w, "norm_top_folder", "left")
     numbers = [c for c, t in facts.dtypes if t == "bigint"]
+    facts = facts.withColumns({"lto_tapes": F.coalesce("lto_tapes", F.lit("")), "classification_counts": F.coalesce("classification_counts", F.lit("{}"))})
     facts = facts.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers} | {"file_reasons": F.coalesce("file_reasons", none), "issue_types": F.coalesce("issue_types", none)})
     return facts.withColumns({"storage_only": F.col("storage_paths") - F.col("covered"), "lto_only": F.col("manifest_path_count") - F.col("covered")})
 
@@ -136,19 +147,47 @@ def strict_decision(facts: DataFrame) -> DataFrame:
     return df.withColumn("decision", F.when(F.col("safe"), "SAFE_TO_DELETE").otherwise("BLOCKED")).drop("_reasons", "safe")
 
 
+def absolute_path() -> Column:
+    return F.concat(F.regexp_replace("source_root", "/+$", ""), F.lit("/"), F.col("top_raw").cast("string"))
+
+
+def _mid(kind: str) -> Column:
+    return F.expr(f"({kind}_total_min_bytes + {kind}_total_max_bytes) div 2")
+
+
 def folder_report(facts: DataFrame) -> DataFrame:
-    """The strict report: decision, reasons, totals, midpoints and signed differences."""
-    df, size = strict_decision(facts), F.col("total_size")
-    lo, hi, mlo, mhi = (F.col(c) for c in ("matched_total_min_bytes", "matched_total_max_bytes", "manifest_total_min_bytes", "manifest_total_max_bytes"))
-    mid = F.expr("(matched_total_min_bytes + matched_total_max_bytes) div 2")
-    result = interval_result(size, "matched_", "NO_MATCHED_LTO_PATHS")
-    return df.select(
-        "source_root", F.col("top_raw").cast("string").alias("folder_name"), "decision", "blocking_reasons", F.col("file_count").alias("storage_file_count"), size.alias("storage_total_size_bytes"), human_bytes(size).alias("storage_total_size_human"), "verified_count",
-        *[F.col(f"matched_{n}").alias(f"lto_{n}") for n in TOTALS], mid.alias("lto_total_size_midpoint_bytes"), *[F.col(f"manifest_{n}").alias(f"lto_folder_{n}") for n in TOTALS],
-        (size - lo).alias("storage_minus_lto_min_bytes"), (size - hi).alias("storage_minus_lto_max_bytes"), (size - mid).alias("storage_minus_lto_midpoint_bytes"), signed_human_bytes(size - lo).alias("storage_minus_lto_min_human"), signed_human_bytes(size - hi).alias("storage_minus_lto_max_human"), signed_human_bytes(size - mid).alias("storage_minus_lto_midpoint_human"),
-        result.alias("folder_size_interval_result"), F.when(result == "WITHIN_INTERVAL", "YES").when(result == "OUTSIDE_INTERVAL", "NO").otherwise("").alias("storage_size_within_lto_folder_interval"),
-        (size - mlo).alias("storage_minus_lto_manifest_min_bytes"), (size - mhi).alias("storage_minus_lto_manifest_max_bytes"), interval_result(size, "manifest_", "NO_LTO_FOLDER").alias("manifest_folder_size_interval_result"), F.array_join("issue_types", " | ").alias("scan_issue_types"),
-    )
+    """The strict report, one row for each folder: decision, reasons, totals, midpoints, signed differences."""
+    df, size, c = strict_decision(facts), F.col("total_size"), F.col
+    mid, result = _mid("matched"), interval_result(size, "matched_", "NO_MATCHED_LTO_PATHS")
+    out = {
+        "source_root": c("source_root"), "folder_name": c("top_raw").cast("string"), "absolute_path": absolute_path(),
+        "decision": c("decision"), "blocking_reasons": c("blocking_reasons"),
+        "storage_file_count": c("file_count"), "storage_total_size_bytes": size, "storage_total_size_human": human_bytes(size),
+        "lto_matched_path_count": c("matched_path_count"), "lto_known_size_file_count": c("matched_known_size_count"), "lto_unknown_size_file_count": c("matched_unknown_size_count"),
+        "lto_conflicting_size_path_count": c("matched_conflicting_size_path_count"), "lto_additional_identical_tape_copy_count": c("matched_additional_identical_tape_copy_count"),
+    }
+    for name, value in (("min", c("matched_total_min_bytes")), ("max", c("matched_total_max_bytes")), ("midpoint", mid)):
+        out[f"lto_total_size_{name}_bytes"] = value
+    for name, value in (("min", c("matched_total_min_bytes")), ("max", c("matched_total_max_bytes")), ("midpoint", mid)):
+        out[f"lto_total_size_{name}_human"] = human_bytes(value)
+    out["lto_folder_manifest_file_count"] = c("manifest_path_count")
+    for name in ("known_size_count", "unknown_size_count", "conflicting_size_path_count", "additional_identical_tape_copy_count", "total_min_bytes", "total_max_bytes"):
+        out[f"lto_folder_manifest_{name}"] = c(f"manifest_{name}")
+    for name in ("min", "max"):
+        out[f"lto_folder_manifest_total_{name}_human"] = human_bytes(c(f"manifest_total_{name}_bytes"))
+    for prefix, ends in (("", {"min": c("matched_total_min_bytes"), "max": c("matched_total_max_bytes"), "midpoint": mid}), ("manifest_", {"min": c("manifest_total_min_bytes"), "max": c("manifest_total_max_bytes")})):
+        for form in ("bytes", "human"):
+            for name, value in ends.items():
+                out[f"storage_minus_lto_{prefix}{name}_{form}"] = size - value if form == "bytes" else signed_human_bytes(size - value)
+        if not prefix:
+            out["storage_size_within_lto_folder_interval"] = F.when(result == "WITHIN_INTERVAL", "YES").when(result == "OUTSIDE_INTERVAL", "NO").otherwise("")
+            out["folder_size_interval_result"] = result
+    out["manifest_folder_size_interval_result"] = interval_result(size, "manifest_", "NO_LTO_FOLDER")
+    # names of earlier reports
+    out |= {"status": c("decision"), "top_folder": c("top_raw").cast("string"), "absolute_folder": absolute_path(), "file_count": c("file_count"), "verified_file_count": c("verified_count"), "total_size_bytes": size}
+    out |= {n: c(n) for n in ("lto_copy_count", "lto_tapes", "classification_counts")}
+    out["scan_issue_types"] = F.array_join("issue_types", " | ")
+    return df.select(*[v.alias(n) for n, v in out.items()])
 
 
 def simple_verdict(facts: DataFrame, percent: float = 0.1, most_bytes: int = 10_485_760) -> DataFrame:
@@ -186,7 +225,7 @@ def simple_report(facts: DataFrame, percent: float = 0.1, most_bytes: int = 10_4
     """The operator report, one row for each folder."""
     df = simple_verdict(facts, percent, most_bytes)
     c, null = F.col, F.lit(None).cast("long")
-    mid = F.expr("(manifest_total_min_bytes + manifest_total_max_bytes) div 2")
+    mid = _mid("manifest")
     off = c("total_size") - mid
     # |off| / size in 10^-4 percent, ties to even, in whole numbers
     scaled, size = F.abs(off).cast("decimal(38,0)") * 1_000_000, F.greatest(c("total_size"), F.lit(1)).cast("decimal(38,0)")
@@ -195,12 +234,19 @@ def simple_report(facts: DataFrame, percent: float = 0.1, most_bytes: int = 10_4
     q = q + F.when((twice > size) | ((twice == size) & (q % 2 == 1)), 1).otherwise(0)
     share = F.concat(F.call_function("div", q, F.lit(10_000)).cast("string"), F.lit("."), F.lpad((q % 10_000).cast("string"), 4, "0"))
     when = lambda v, d: F.when(c("usable"), v).otherwise(d)
-    return df.select(
-        c("top_raw").cast("string").alias("folder_name"), human_bytes(c("total_size")).alias("storage_size"), when(human_bytes(mid), "UNKNOWN").alias("lto_size"), c("file_count").alias("storage_file_count"), c("manifest_path_count").alias("lto_file_count"), "result", "source_root",
-        c("total_size").alias("storage_size_bytes"), when(c("manifest_total_min_bytes"), null).alias("lto_size_min_bytes"), when(c("manifest_total_max_bytes"), null).alias("lto_size_max_bytes"), when(mid, null).alias("lto_size_midpoint_bytes"), when(off, null).alias("size_difference_bytes"), when(share, "").alias("size_difference_percent"),
-        F.when(c("file_count") == c("manifest_path_count"), "MATCH").otherwise("MISMATCH").alias("file_count_result"), c("matches").alias("known_size_match_count"), c("unknown_matches").alias("unknown_size_path_match_count"), c("storage_only").alias("storage_only_path_count"), c("lto_only").alias("lto_only_path_count"), c("size_mismatches").alias("size_mismatch_count"),
-        c("manifest_conflicting_size_path_count").alias("conflicting_lto_path_count"), c("ambiguous").alias("ambiguous_path_count"), c("zero_files").alias("zero_size_file_count"), c("scan_issues").cast("long").alias("scan_issue_count"), c("invalid_encoding").alias("invalid_encoding_count"), "aggregate_size_result", "reason", F.lit(units).alias("pdf_size_units"),
-    )
+    out = {
+        "folder_name": c("top_raw").cast("string"), "storage_size": human_bytes(c("total_size")), "lto_size": when(human_bytes(mid), "UNKNOWN"),
+        "storage_file_count": c("file_count"), "lto_file_count": c("manifest_path_count"), "result": c("result"),
+        "source_root": c("source_root"), "absolute_path": absolute_path(), "storage_size_bytes": c("total_size"),
+        "lto_size_min_bytes": when(c("manifest_total_min_bytes"), null), "lto_size_max_bytes": when(c("manifest_total_max_bytes"), null), "lto_size_midpoint_bytes": when(mid, null),
+        "size_difference_bytes": when(off, null), "size_difference_percent": when(share, ""), "size_result": c("aggregate_size_result"),
+        "file_count_result": F.when(c("file_count") == c("manifest_path_count"), "MATCH").otherwise("MISMATCH"),
+        "known_size_match_count": c("matches"), "unknown_size_path_match_count": c("unknown_matches"), "storage_only_path_count": c("storage_only"), "lto_only_path_count": c("lto_only"),
+        "size_mismatch_count": c("size_mismatches"), "conflicting_lto_path_count": c("manifest_conflicting_size_path_count"), "ambiguous_path_count": c("ambiguous"), "zero_size_file_count": c("zero_files"),
+        "scan_issue_count": c("scan_issues").cast("long"), "invalid_encoding_count": c("invalid_encoding"),
+        "aggregate_size_result": c("aggregate_size_result"), "reason": c("reason"), "pdf_size_units": F.lit(units),
+    }
+    return df.select(*[v.alias(n) for n, v in out.items()])
 
 
 def verdict_totals(report: DataFrame) -> DataFrame:

@@ -314,16 +314,64 @@ def _result(p: str, empty: str) -> str:
     return f"CASE WHEN {p}pc = 0 THEN '{empty}' WHEN {p}uc > 0 OR {p}cc > 0 THEN 'UNKNOWN_LTO_SIZES' WHEN size BETWEEN {p}lo AND {p}hi THEN 'WITHIN_INTERVAL' ELSE 'OUTSIDE_INTERVAL' END"
 
 
+_MID = "((mlo + mhi) // 2)"
+
+
+def _diffs(prefix: str, ends: dict[str, str]) -> str:
+    return ", ".join(f"size - {v} AS storage_minus_lto_{prefix}{n}_bytes, {sql.signed(f'(size - {v})')} AS storage_minus_lto_{prefix}{n}_human" for n, v in ends.items())
+
+
+_MOVED = "status IN ('POSSIBLE_MOVED_WITHIN_TOP_FOLDER', 'AMBIGUOUS_POSSIBLE_MOVE')"
+
+
 @query(
-    "folder_interval_result",
-    sql.folders(f"""SELECT source_root, top AS folder_name, mpc AS lto_path_count, mkc AS lto_known_size_count, muc AS lto_unknown_size_count, mlo AS lto_total_min_bytes, mhi AS lto_total_max_bytes, (mlo + mhi) // 2 AS lto_total_size_midpoint_bytes, {sql.human('size')} AS storage_total_size_human,
-    {sql.signed('(size - mlo)')} AS storage_minus_lto_min_human, {sql.signed('(size - (mlo + mhi) // 2)')} AS storage_minus_lto_midpoint_human, {_result('m', 'NO_MATCHED_LTO_PATHS')} AS folder_size_interval_result, {_result('w', 'NO_LTO_FOLDER')} AS manifest_folder_size_interval_result FROM fo"""),
+    "folder_report",
+    sql.folders(f"""
+, tp AS (SELECT cl.source_root, cl.top, mf.tape FROM cl JOIN mf USING (path) UNION SELECT cl.source_root, cl.top, mf.tape FROM cl JOIN mp ON mp.path = cl.path AND mp.size = cl.size JOIN mf ON mf.path = mp.from_path WHERE {_MOVED}),
+tl AS (SELECT source_root, top, string_agg(tape, ' | ' ORDER BY tape) AS tapes FROM tp GROUP BY ALL),
+tc AS (SELECT source_root, top, CAST(sum(CASE WHEN {_MOVED} THEN entries ELSE n END) AS BIGINT) AS copies FROM cl GROUP BY ALL),
+ss AS (SELECT source_root, top, status, count(*) AS n FROM cl GROUP BY ALL),
+sj AS (SELECT source_root, top, '{{' || string_agg('"' || status || '": ' || n, ', ' ORDER BY status) || '}}' AS counts FROM ss GROUP BY ALL),
+wy AS (SELECT *, {_WHY} AS why FROM fo),
+w2 AS (SELECT *, CASE WHEN len(why) = 0 AND ver = files THEN 'SAFE_TO_DELETE' ELSE 'BLOCKED' END AS decision, {_result('m', 'NO_MATCHED_LTO_PATHS')} AS mres, {_result('w', 'NO_LTO_FOLDER')} AS wres FROM wy)
+SELECT source_root, top AS folder_name, source_root || '/' || top AS absolute_path, decision, array_to_string(why, ' | ') AS blocking_reasons, files AS storage_file_count, size AS storage_total_size_bytes, {sql.human('size')} AS storage_total_size_human,
+  mpc AS lto_matched_path_count, mkc AS lto_known_size_file_count, muc AS lto_unknown_size_file_count, mcc AS lto_conflicting_size_path_count, mxc AS lto_additional_identical_tape_copy_count,
+  mlo AS lto_total_size_min_bytes, mhi AS lto_total_size_max_bytes, {_MID} AS lto_total_size_midpoint_bytes, {sql.human('mlo')} AS lto_total_size_min_human, {sql.human('mhi')} AS lto_total_size_max_human, {sql.human(_MID)} AS lto_total_size_midpoint_human,
+  wpc AS lto_folder_manifest_file_count, wkc AS lto_folder_manifest_known_size_count, wuc AS lto_folder_manifest_unknown_size_count, wcc AS lto_folder_manifest_conflicting_size_path_count, wxc AS lto_folder_manifest_additional_identical_tape_copy_count,
+  wlo AS lto_folder_manifest_total_min_bytes, whi AS lto_folder_manifest_total_max_bytes, {sql.human('wlo')} AS lto_folder_manifest_total_min_human, {sql.human('whi')} AS lto_folder_manifest_total_max_human,
+  {_diffs('', {'min': 'mlo', 'max': 'mhi', 'midpoint': _MID})}, {_diffs('manifest_', {'min': 'wlo', 'max': 'whi'})},
+  CASE mres WHEN 'WITHIN_INTERVAL' THEN 'YES' WHEN 'OUTSIDE_INTERVAL' THEN 'NO' ELSE '' END AS storage_size_within_lto_folder_interval, mres AS folder_size_interval_result, wres AS manifest_folder_size_interval_result,
+  decision AS status, top AS top_folder, source_root || '/' || top AS absolute_folder, files AS file_count, ver AS verified_file_count, size AS total_size_bytes, copies AS lto_copy_count, coalesce(tapes, '') AS lto_tapes, counts AS classification_counts, '' AS scan_issue_types
+FROM w2 JOIN tc USING (source_root, top) JOIN sj USING (source_root, top) LEFT JOIN tl USING (source_root, top)"""),
 )
+def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folders.folder_report(_facts(spark, sf_dir))
+
+
+@query("folder_interval_result", sql.folders(f"SELECT source_root, top AS folder_name, size AS storage_total_size_bytes, mlo AS lto_total_size_min_bytes, mhi AS lto_total_size_max_bytes, {_result('m', 'NO_MATCHED_LTO_PATHS')} AS folder_size_interval_result, {_result('w', 'NO_LTO_FOLDER')} AS manifest_folder_size_interval_result FROM fo"))
 def folder_interval_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ("source_root", "folder_name", "lto_path_count", "lto_known_size_count", "lto_unknown_size_count", "lto_total_min_bytes", "lto_total_max_bytes", "lto_total_size_midpoint_bytes", "storage_total_size_human", "storage_minus_lto_min_human", "storage_minus_lto_midpoint_human", "folder_size_interval_result", "manifest_folder_size_interval_result")
+    cols = ("source_root", "folder_name", "storage_total_size_bytes", "lto_total_size_min_bytes", "lto_total_size_max_bytes", "folder_size_interval_result", "manifest_folder_size_interval_result")
     return folders.folder_report(_facts(spark, sf_dir)).select(*cols)
 
 
+@query(
+    "simple_folder_report",
+    sql.folders(f"""
+, v2 AS (SELECT *, (wlo + whi) // 2 AS mid FROM vd),
+v3 AS (SELECT *, CAST(abs(size - mid) AS HUGEINT) * 1000000 AS sc, CAST(greatest(size, 1) AS HUGEINT) AS sz1 FROM v2),
+v4 AS (SELECT *, CAST(sc // sz1 + CASE WHEN 2 * (sc % sz1) > sz1 OR (2 * (sc % sz1) = sz1 AND (sc // sz1) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS q FROM v3),
+v5 AS (SELECT *, CASE WHEN ok THEN 'WITHIN_TOLERANCE' WHEN usable THEN 'OUTSIDE_TOLERANCE' ELSE 'UNKNOWN' END AS size_result FROM v4)
+SELECT top AS folder_name, {sql.human('size')} AS storage_size, CASE WHEN usable THEN {sql.human('mid')} ELSE 'UNKNOWN' END AS lto_size, files AS storage_file_count, wpc AS lto_file_count, result, source_root, source_root || '/' || top AS absolute_path,
+  size AS storage_size_bytes, CASE WHEN usable THEN wlo END AS lto_size_min_bytes, CASE WHEN usable THEN whi END AS lto_size_max_bytes, CASE WHEN usable THEN mid END AS lto_size_midpoint_bytes, CASE WHEN usable THEN size - mid END AS size_difference_bytes,
+  CASE WHEN usable THEN q // 10000 || '.' || lpad(CAST(q % 10000 AS VARCHAR), 4, '0') ELSE '' END AS size_difference_percent, size_result, size_result AS aggregate_size_result, CASE WHEN files = wpc THEN 'MATCH' ELSE 'MISMATCH' END AS file_count_result,
+  m AS known_size_match_count, u AS unknown_size_path_match_count, so AS storage_only_path_count, lo_only AS lto_only_path_count, x AS size_mismatch_count, wcc AS conflicting_lto_path_count, amb AS ambiguous_path_count, z AS zero_size_file_count, CAST(si AS BIGINT) AS scan_issue_count, inv AS invalid_encoding_count,
+  CASE WHEN result = 'YES' THEN 'OK' WHEN result = 'YES_WITH_UNKNOWN_SIZE' THEN 'INDIVIDUAL_LTO_SIZE_UNKNOWN_AGGREGATE_MATCH' WHEN result = 'YES_WITH_FILE_WARNINGS' THEN 'INDIVIDUAL_SIZE_MISMATCH_AGGREGATE_MATCH' || CASE WHEN u > 0 THEN ' | INDIVIDUAL_LTO_SIZE_UNKNOWN_AGGREGATE_MATCH' ELSE '' END WHEN why = '' THEN 'AMBIGUOUS_PATH' ELSE why END AS reason,
+  'DECIMAL' AS pdf_size_units FROM v5"""),
+)
+def simple_folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folders.simple_report(_facts(spark, sf_dir))
+
+
 @query(
     "folder_simple_verdict",
     sql.folders("""SELECT source_root, top AS folder_name, result, CASE WHEN result = 'YES' THEN 'OK' WHEN result = 'YES_WITH_UNKNOWN_SIZE' THEN 'INDIVIDUAL_LTO_SIZE_UNKNOWN_AGGREGATE_MATCH' WHEN result = 'YES_WITH_FILE_WARNINGS' THEN 'INDIVIDUAL_SIZE_MISMATCH_AGGREGATE_MATCH' || CASE WHEN u > 0 THEN ' | INDIVIDUAL_LTO_SIZE_UNKNOWN_AGGREGATE_MATCH' ELSE '' END

@@ -82,12 +82,14 @@ def test_folder_totals_and_issues(spark):
     facts = folders.folder_facts(classify.reconcile(m, s), issues, expected)
     got = {r.folder_name: r for r in folders.folder_report(facts).collect()}
     a = got["A"]
-    assert (a.lto_total_min_bytes, a.lto_total_max_bytes, a.lto_total_size_midpoint_bytes, a.storage_minus_lto_min_human, a.storage_minus_lto_max_human) == (300, 320, 310, "+10 B", "-10 B")
-    assert (a.lto_folder_path_count, a.lto_folder_known_size_count, a.lto_folder_unknown_size_count, a.lto_folder_conflicting_size_path_count, a.lto_additional_identical_tape_copy_count) == (4, 3, 1, 1, 1)
+    assert (a.lto_total_size_min_bytes, a.lto_total_size_max_bytes, a.lto_total_size_midpoint_bytes, a.storage_minus_lto_min_human, a.storage_minus_lto_max_human) == (300, 320, 310, "+10 B", "-10 B")
+    assert (a.lto_folder_manifest_file_count, a.lto_folder_manifest_known_size_count, a.lto_folder_manifest_unknown_size_count, a.lto_folder_manifest_conflicting_size_path_count, a.lto_additional_identical_tape_copy_count) == (4, 3, 1, 1, 1)
+    assert (a.lto_copy_count, a.lto_tapes, a.classification_counts, a.absolute_path) == (3, "T1 | T2", '{"MATCH": 2}', "/r/A") and len(a) == 51
     assert a.folder_size_interval_result == "WITHIN_INTERVAL" and a.manifest_folder_size_interval_result == "UNKNOWN_LTO_SIZES"
     assert a.blocking_reasons == "DIRECTORY_READ_ERROR | INCOMPLETE_CLASSIFICATION | SYMLINK_SKIPPED"
     assert got["C"].storage_file_count == 0 and got["C"].decision == "BLOCKED" and got["B"].scan_issue_types == "directory_read_error"
     simple = {r.folder_name: r for r in folders.simple_report(facts).collect()}
+    assert len(simple["A"]) == 29
     assert "SCAN_INCOMPLETE" in simple["C"].reason and simple["A"].scan_issue_count == 2
     assert {r.result: r.folders for r in folders.verdict_totals(folders.simple_report(facts)).collect()} == {"YES": 0, "YES_WITH_UNKNOWN_SIZE": 0, "YES_WITH_FILE_WARNINGS": 0, "NO": 3}
 
