@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hinted, saved, table
+from .common import WORD, fresh, hinted, saved, slices, table, trim
 
 WIDTH = 5
 PERCENT = 75
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
+CHUNK_BYTES = 4_000_000  # text that is read at once; one text is never cut
 BUCKET_TOKENS = 1_500_000  # shingles that one bucket counts
-CHUNK_TOKENS = 1_500_000  # shingles that a task holds before it deals them out
+CHUNK_TOKENS = 500_000  # shingles that a task holds before it deals them out
 NAMES = 200_000  # open classes (two numbers each) that are broadcast; more are joined by shuffle
 ONE_TASK = 400_000  # edges (two numbers each) that one task joins
 BLOCK = 2_000  # sets that one trie joins
@@ -191,12 +193,15 @@ def document_classes(df: DataFrame, doc_id: str, text: str, width: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
-        for b in batches:
+        for b in chain.from_iterable(slices(x, 1, CHUNK_BYTES) for x in batches):
             sets = (shingles(t, cache, width) for t in b.column(1).to_pylist())
             found = [(len(s), class_id(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "digest", "n", "cls"])
+            columns = [b.column(0).cast(pa.int64()), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "cls"])
+        cache.clear()
+        trim()
 
-    return df.select(doc_id, text, F.xxhash64(text).alias("_digest")).mapInArrow(run, "doc_id long, digest long, n long, cls long")
+    return df.select(doc_id, text, F.xxhash64(text)).mapInArrow(run, "doc_id long, digest long, n long, cls long")
 
 
 def dealt(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int, short: bool = False) -> Iterator[pa.RecordBatch]:
@@ -205,22 +210,19 @@ def dealt(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int, short: bool
 
     def emit() -> pa.RecordBatch:
         tokens = np.concatenate([t for _, _, t in held])
-        lens = [len(t) for _, _, t in held]
-        own = np.repeat(np.array([o for o, _, _ in held], np.int64), lens)
-        lab = np.repeat(np.array([x for _, x, _ in held], np.int64), lens)
-        to = (tokens % np.uint64(buckets)).astype(np.int64)
+        owners, labels = np.array([o for o, _, _ in held], np.int64), np.array([x for _, x, _ in held], np.int64)
+        own = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for _, _, t in held])
+        to = (tokens % np.uint64(buckets)).astype(np.uint32)
         if short:
             tokens = (tokens >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(to, kind="stable")
-        tokens, own, lab, to = tokens[order], own[order], lab[order], to[order]
+        tokens, own, to = tokens[order], own[order], to[order]
         cut = np.flatnonzero(np.diff(to)) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(to)]])
         cols: list[list] = [[], [], [], [], []]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             names, at = np.unique(own[a:b], return_inverse=True)  # each owner once, then small numbers
-            by = np.zeros(len(names), np.int64)
-            by[at] = lab[a:b]
-            for col, v in zip(cols, (int(to[a]), tokens[a:b].tobytes(), at.astype(np.uint32).tobytes(), names.tobytes(), by.tobytes()), strict=True):
+            for col, v in zip(cols, (int(to[a]), tokens[a:b].tobytes(), at.astype(np.uint32).tobytes(), owners[names].tobytes(), labels[names].tobytes()), strict=True):
                 col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "tokens", "at", "owners", "labels"])
 
@@ -302,7 +304,7 @@ def candidates(df: DataFrame, n_tokens: int, text: str, width: int) -> DataFrame
         cache, seen = Hashes(), set()
 
         def rows() -> Iterator[tuple[int, int, np.ndarray]]:
-            for b in batches:
+            for b in chain.from_iterable(slices(x, 0, CHUNK_BYTES) for x in batches):
                 for t in b.column(0).to_pylist():
                     s = shingles(t, cache, width)
                     if len(s) and (c := class_id(s)) not in seen:  # copies in a task count once
@@ -310,6 +312,8 @@ def candidates(df: DataFrame, n_tokens: int, text: str, width: int) -> DataFrame
                         yield c, c, s
 
         yield from dealt(rows(), buckets, short=True)
+        cache.clear()
+        trim()
 
     def add(group: pa.Table) -> pa.Table:
         classes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("classes").to_pylist()])
@@ -389,7 +393,13 @@ def unfinished(sets: DataFrame, n_tokens: int, percent: int) -> DataFrame:
     buckets = max(12, math.ceil(n_tokens / BUCKET_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from dealt(((c, lb, np.frombuffer(t, np.uint64)) for b in batches for c, lb, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)), buckets)
+        def rows() -> Iterator[tuple[int, int, np.ndarray]]:
+            for b in batches:
+                for c, lb, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    yield c, lb, np.frombuffer(t, np.uint64)
+
+        yield from dealt(rows(), buckets)
+        trim()
 
     found = foreign_tokens(sets.select("cls", "label", "tokens").mapInArrow(run, BLOBS), lists=True)
     found = found.groupBy("cls").agg(F.collect_list(F.struct("tokens", "df")).alias("found"), F.sum(F.octet_length("tokens") / 8).alias("shared"))
@@ -452,16 +462,19 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
 
 def drop_near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component: of the smallest id, then the smallest hash of the text.
+    """``df`` with one row of each component: of the smallest id, then the smallest hash of the text; a null id comes last.
 
-    Rows without words are in no component and all stay.
+    Of repeated rows one stays. Rows without words are in no component and all stay. An empty
+    table gives no rows; all columns, whatever their names, stay as they are.
     """
     rows = saved(labelled(df, width, percent, doc_id, text, ROUNDS).where("label is not null"))
-    keep = rows.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("digest").alias("d"))).alias("k")).select(F.col("k.i").alias("_i"), F.col("k.d").alias("_d")).distinct()
-    keyed = df.withColumns({"_i": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "_d": F.xxhash64(text)})
-    kept = keyed.join(keep, ["_i", "_d"], "left_semi").dropDuplicates(["_i", "_d"])
-    wordless = keyed.where(~F.coalesce(F.col(text), F.lit("")).rlike(WORD))
-    return kept.where(F.coalesce(F.col(text), F.lit("")).rlike(WORD)).unionByName(wordless).select(*df.columns)
+    number, digest = fresh(df, "_id", "_digest")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("digest").alias("d"))).alias("k")
+    keep = rows.groupBy("label").agg(least).select(F.col("k.i").alias(number), F.col("k.d").alias(digest)).distinct()
+    keyed = df.withColumns({number: F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), digest: F.xxhash64(text)})
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    kept = keyed.where(~wordless).join(keep, [number, digest], "left_semi").dropDuplicates([number, digest])
+    return kept.unionByName(keyed.where(wordless)).select(*df.columns)
 
 
 def labelled(df: DataFrame, width: int, percent: int, doc_id: str, text: str, rounds: tuple[tuple[int, ...], ...]) -> DataFrame:
@@ -536,12 +549,15 @@ def class_sets(df: DataFrame, open_classes: DataFrame, doc_id: str, text: str, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
-        for b in batches:
+        for b in chain.from_iterable(slices(x, 1, CHUNK_BYTES) for x in batches):
             out = [(c, len(s), s.tobytes()) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(s := shingles(t, cache, width)) and class_id(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["cls", "n", "tokens"])
+        cache.clear()
+        trim()
 
     names = open_classes.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))
-    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(hinted(names, NAMES), F.col("_id").eqNullSafe(F.col("_first")))
+    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = rows.join(hinted(names, NAMES), F.col("_id").eqNullSafe(F.col("_first")))
     return saved(rows.select("_cls", "_text").mapInArrow(run, "cls long, n long, tokens binary").dropDuplicates(["cls"]))
 
 
