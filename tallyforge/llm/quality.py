@@ -2,22 +2,33 @@
 
 A public byte-level BPE gives characters per token and the entropy of the token distribution;
 a public piece vocabulary with byte fallback gives the share of pieces that are raw bytes.
-Words are tokenised once and kept in a bounded cache, whole batches are counted in numpy. A
-text is rejected outside the band of its language or, where the language has none, of the
+Words are cut by Arrow; each distinct word of a chunk is tokenised once, and texts are counted
+in numpy. A text is rejected outside the band of its language or, where the language has none, of the
 script that most of its words are in. A language's band follows the count of tokens, as both
 measures vary more in short texts and entropy grows with length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-
-from .common import table
-
-SPACE = b" \t\n\x0b\x0c\r"
-SYMBOLS = b"#*$%&|<>"
+from pyspark.sql import functions as F
+
+from .common import saved, slices, table, trim
+
+SYMBOLS = "[#*$%&|<>]"
+HAS_WORD = "[^ \t-\r]"
+#: White space beside that of the word definition: a word with it is tokenised by itself.
+INNER_SPACE = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The first letter is one of these of Latin; scripts of other words are looked up one by one.
+FIRST_LATIN = "^\\P{L}*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1]"
+#: Blocks of letters, without combining marks, whose characters may have a piece each: code points, last exclusive.
+ALPHABETS = ((0x21, 0x7F), (0xA1, 0x250), (0x370, 0x483), (0x48A, 0x530))
 SCRIPTS = ("latin", "greek", "cyrillic", "arabic", "cjk", "other", "none")
 #: (first code point, script number); a word has the script of its first letter.
 RANGES = ((0x41, 0), (0x370, 1), (0x400, 2), (0x530, 5), (0x600, 3), (0x780, 5), (0x1E00, 0), (0x1F00, 1), (0x2000, 5), (0x2E80, 4), (0xA4D0, 5), (0xAC00, 4), (0xD7B0, 5), (0xF900, 4), (0xFB00, 5), (0x20000, 4), (0x323B0, 5))
@@ -42,10 +53,9 @@ LENGTH_BANDS = {
     "fr": ((5, 1.03, 2.69, 3.98), (6, 1.40, 2.31, 4.83), (7, 1.48, 2.24, 5.35), (8, 1.57, 2.14, 5.76), (9, 1.62, 2.07, 6.04), (10, 1.70, 2.00, 6.25), (11, 1.74, 1.96, 6.40), (12, 1.75, 1.94, 6.47), (13, 1.77, 1.92, 6.54)),
 }
 MOST_BYTES = 0.02  # sf0.1: 0.0 in every text
-CACHE = 400_000  # words kept by a worker
-CHUNK_WORDS = 200_000  # words counted at once; one text is never cut
-FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string())]
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, token_entropy double, script string"
+CHUNK_BYTES = 4_000_000  # text that is measured at once; one text is never cut
+FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string()), ("n_tokens", pa.int64())]
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, token_entropy double, script string, n_tokens long"
 
 
 def script_of(word: str) -> int:
@@ -61,62 +71,94 @@ def script_of(word: str) -> int:
 
 
 class Words:
-    """Numbers words; for each its tokens, byte pieces and script."""
+    """What the public vocabularies make of distinct words."""
+
+    def __init__(self, ranks: str, pieces: str):
+        import base64
 
-    def __init__(self, bpe: str, pieces: str):
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.bpe = Tokenizer.from_file(bpe)
-        self.bpe.encode_special_tokens = True
+        with open(ranks, "rb") as f:
+            table_ = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
+        self.begins = np.zeros(max(table_.values()) + 1, bool)
+        self.begins[[rank for token, rank in table_.items() if token[:1] == b" "]] = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.is_byte = np.array([self.pieces.IsByte(i) or self.pieces.IsUnknown(i) for i in range(self.pieces.get_piece_size())])
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.tokens = [np.zeros(0, np.int32)]
-        self.lengths = np.zeros(0, np.int64)
-        self.n_pieces = np.zeros(0, np.int64)
-        self.n_bytes = np.zeros(0, np.int64)
-        self.script = np.zeros(0, np.int8)
-
-    def learn(self, words: list[bytes]) -> None:
-        for w in words:
-            self.number[w] = len(self.number)
-        texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [e.ids for e in self.bpe.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        pieces = self.pieces.encode(texts, num_threads=1)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = self.is_byte[np.fromiter((p for x in pieces for p in x), np.int64, int(counts.sum()))]
-        upto = np.concatenate([[0], np.cumsum(flat)])
-        ends = np.cumsum(counts)
-        self.tokens.append(np.fromiter((i for x in ids for i in x), np.int32))
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.n_pieces = np.concatenate([self.n_pieces, counts])
-        self.n_bytes = np.concatenate([self.n_bytes, upto[ends] - upto[ends - counts]])
-        self.script = np.concatenate([self.script, np.fromiter(map(script_of, texts), np.int8, len(texts))])
-
-    def freeze(self):
-        self.tokens = [np.concatenate(self.tokens)]
-        return self.tokens[0], np.cumsum(self.lengths) - self.lengths
-
-
-def pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal pairs, equal numbers; the numbers are below the count of pairs."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+        alone = [chr(c) for first, last in ALPHABETS for c in range(first, last)]
+        known = [c for c, ids in zip(alone, self.pieces.encode(alone, num_threads=1), strict=True) if not self.is_byte[ids].any()]
+        self.safe = "^[" + "".join(f"\\x{{{ord(c):x}}}" for c in known) + "]+$"  # no piece of such a word is a byte
+
+    def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, how many of each), each word behind a blank."""
+        odd = pc.match_substring_regex(words, INNER_SPACE)
+        mask = odd.to_numpy(zero_copy_only=False)
+        common = words.filter(pc.invert(odd))
+        n, flat = np.zeros(len(words), np.int64), np.zeros(0, np.int64)
+        if len(common):  # a blank begins a token wherever it stands, so the words can be told apart
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(common)], pa.int32()), common), " ")[0].as_py()
+            flat = np.array(self.bpe(" " + joined), np.int64)
+            n[~mask] = np.diff(np.flatnonzero(self.begins[flat]), append=len(flat))
+        if not mask.any():
+            return flat, n
+        lists = [self.bpe(" " + w) for w in words.filter(odd).to_pylist()]
+        n[mask] = list(map(len, lists))
+        order = np.argsort(mask, kind="stable")  # the common words' tokens come first
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        flat = np.concatenate([flat, np.array([i for x in lists for i in x], np.int64)])
+        return flat[spread(first, n)], n
+
+    def byte_pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, those that are bytes) of each word."""
+        pieces = self.pieces.encode(words.to_pylist(), num_threads=1)
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        upto = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter((p for x in pieces for p in x), np.int64, int(n.sum()))])])
+        ends = np.cumsum(n)
+        return n, upto[ends] - upto[ends - n]
+
+    @staticmethod
+    def scripts(words: pa.Array) -> np.ndarray:
+        other = ~pc.match_substring_regex(words, FIRST_LATIN).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(words), np.int64)
+        out[other] = [script_of(w) for w in words.filter(pa.array(other)).to_pylist()]
+        return out
+
+
+@lru_cache(maxsize=1)
+def vocabularies(ranks: str, pieces: str) -> Words:
+    """Loaded once by a worker process."""
+    return Words(ranks, pieces)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] numbers; then those of first[1], and so on."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(first - upto[:-1], n) + np.arange(upto[-1])
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """By text: words in 5-word windows that the text has twice or more."""
+    """By text: words in 5-word windows that the text has twice or more. 64-bit hashes stand for (text, window)."""
     at = np.flatnonzero(doc[:-4] == doc[4:]) if len(ids) >= 5 else np.zeros(0, np.int64)
     if not len(at):
         return np.zeros(n_docs, np.int64)
-    two = pair_ranks(doc[:-1] * (int(ids.max()) + 1) + ids[:-1], ids[1:])
-    four = pair_ranks(two[at], two[at + 2])
-    _, inv, n = np.unique(four * (int(ids.max()) + 1) + ids[at + 4], return_inverse=True, return_counts=True)
+    k = np.uint64(0x9E3779B97F4A7C15)
+    h = doc[at].astype(np.uint64) + np.uint64(1)
+    for i in range(5):
+        h = (h ^ (h >> np.uint64(29))) * k + ids[at + i].astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * k
+    s = np.sort(h)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return np.zeros(n_docs, np.int64)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[twice >> np.uint64(48)] = True
+    some = np.flatnonzero(maybe[h >> np.uint64(48)])
+    place = np.minimum(np.searchsorted(twice, h[some]), len(twice) - 1)
+    start = at[some[twice[place] == h[some]]]
     hit = np.zeros(len(ids) + 1, np.int64)
-    start = at[n[inv] > 1]
     np.add.at(hit, start, 1)
     np.add.at(hit, start + 5, -1)
     return np.bincount(doc[np.cumsum(hit[:-1]) > 0], minlength=n_docs)
@@ -125,24 +167,29 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 def entropy(tokens: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(bits, share of the most possible) by text."""
     total = np.bincount(doc, minlength=n_docs).astype(float)
-    key, n = np.unique(doc * (1 << 20) + tokens, return_counts=True)
-    own = key >> 20
-    p = n / total[own]
+    key = np.sort(doc * (1 << 20) + tokens)
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    own = key[start] >> 20
+    p = np.diff(start, append=len(key)) / total[own]
     bits = np.bincount(own, -p * np.log2(p), minlength=n_docs)
     return bits, np.where(total > 1, bits / np.log2(np.maximum(total, 2)), 1.0)
 
 
-def base_counts(text: str) -> tuple[bytes, int, int, int]:
-    b = text.encode("utf-8", "surrogatepass")
-    chars = len(text) - (len(b) - len(b.translate(None, SPACE)))
-    seen: set[bytes] = set()
-    dup = 0
-    for line in b.split(b"\n"):
-        if line.strip(SPACE):
-            if line in seen:
-                dup += 1
-            seen.add(line)
-    return b, chars, len(b) - len(b.translate(None, SYMBOLS)), dup
+def owners(lists: pa.Array) -> np.ndarray:
+    """By value of a list array: the number of its list."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def duplicate_lines(texts: pa.Array) -> np.ndarray:
+    """By text: lines with a word that equal an earlier line."""
+    lists = pc.split_pattern(texts, "\n")
+    lines = lists.flatten().dictionary_encode()
+    at = lines.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.match_substring_regex(lines.dictionary, HAS_WORD).to_numpy(zero_copy_only=False)[at]
+    doc, at = owners(lists)[real], at[real]
+    key = np.sort(doc * (int(at.max(initial=0)) + 1) + at)
+    again = key[1:][key[1:] == key[:-1]] // (int(at.max(initial=0)) + 1)
+    return np.bincount(again, minlength=len(texts))
 
 
 def by_length(rows: tuple, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,75 +199,100 @@ def by_length(rows: tuple, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.interp(size, at, low), np.interp(size, at, high), np.interp(size, at, bits) * np.minimum(size / at[0], 1)
 
 
-def score_chunk(words: Words, docs: list[tuple], langs: list, bands: dict) -> list[list]:
-    """docs: (words as bytes, word_chars, n_symbols, n_dup_lines)."""
-    n = len(docs)
-    if len(words.number) > CACHE:
-        words.clear()
-    new = list(dict.fromkeys(w for d in docs for w in d[0] if w not in words.number))
-    if new:
-        words.learn(new)
-    flat, starts = words.freeze()
-    counts = np.fromiter((len(d[0]) for d in docs), np.int64, n)
-    ids = np.fromiter((words.number[w] for d in docs for w in d[0]), np.int64, int(counts.sum()))
-    doc = np.repeat(np.arange(n), counts)
-    repeat = repeated_words(ids, doc, n)
-    lengths = words.lengths[ids]
-    at = np.repeat(starts[ids] - np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else np.zeros(0, np.int64), lengths) + np.arange(int(lengths.sum()))
-    bits, share = entropy(flat[at].astype(np.int64), np.repeat(doc, lengths), n)
-    chars = np.array([d[1] for d in docs], np.int64)
-    n_tokens = np.bincount(doc, lengths, minlength=n)
-    n_pieces = np.bincount(doc, words.n_pieces[ids], minlength=n)
+def score_chunk(vocabulary: Words, texts: pa.Array, langs: list, bands: dict) -> list:
+    """Columns of ``FIELDS`` for the texts."""
+    texts, n = texts.fill_null(""), len(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = (pc.binary_length(words).to_numpy() > 0)[at]  # a text's edges give empty words
+    doc, at = owners(lists)[real], at[real]
+
+    def summed(by_word: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, by_word[at], minlength=n).astype(np.int64)
+
+    counts, repeat = np.bincount(doc, minlength=n), repeated_words(at, doc, n)
+    chars, symbols = summed(pc.utf8_length(words).to_numpy()), summed(pc.count_substring_regex(words, SYMBOLS).to_numpy())
+    flat, lengths = vocabulary.tokens(words)
+    n_tokens = summed(lengths)
+    bits, share = entropy(flat[spread((np.cumsum(lengths) - lengths)[at], lengths[at])], np.repeat(doc, lengths[at]), n)
     per_token = np.divide(chars, n_tokens, out=np.zeros(n), where=n_tokens > 0)
-    byte_share = np.divide(np.bincount(doc, words.n_bytes[ids], minlength=n), n_pieces, out=np.zeros(n), where=n_pieces > 0)
-    scripts = np.bincount(doc * len(SCRIPTS) + words.script[ids], minlength=n * len(SCRIPTS)).reshape(n, -1)
+    byte_share = np.zeros(n)
+    unsafe = ~pc.match_substring_regex(words, vocabulary.safe).to_numpy(zero_copy_only=False)[at]
+    if unsafe.any():  # the share is 0 in all texts without such a word
+        open_ = np.bincount(doc[unsafe], minlength=n) > 0
+        own = open_[doc]
+        used, place = np.unique(at[own], return_inverse=True)
+        pieces, in_bytes = vocabulary.byte_pieces(words.take(pa.array(used)))
+        total = np.bincount(doc[own], pieces[place], minlength=n)
+        byte_share = np.divide(np.bincount(doc[own], in_bytes[place], minlength=n), total, out=byte_share, where=total > 0)
+    scripts = np.bincount(doc * len(SCRIPTS) + vocabulary.scripts(words)[at], minlength=n * len(SCRIPTS)).reshape(n, -1)
     scripts[:, -1] = np.where(scripts[:, :-1].any(axis=1), 0, 1)
-    script = [SCRIPTS[i] for i in scripts.argmax(axis=1)]
+    script = np.array(SCRIPTS, object)[scripts.argmax(axis=1)]
     failed = (counts < 10) | (100 * repeat > 20 * counts)
     kept = ~failed
-    owners: dict[str, list[int]] = {}
-    for i in range(n):
-        owners.setdefault(langs[i] if langs[i] in bands else script[i], []).append(i)
-    for name, own in owners.items():
+    names = np.array([x if x in bands else y for x, y in zip(langs, script, strict=True)], object)
+    for name in dict.fromkeys(names):
+        own = np.flatnonzero(names == name)
         if isinstance(bands[name][0], tuple):
             (low, high, least), most_bytes, measure = by_length(bands[name], n_tokens[own]), MOST_BYTES, bits
         else:
             (low, high, most_bytes, least), measure = bands[name], share
         kept[own] &= (low <= per_token[own]) & (per_token[own] <= high) & (byte_share[own] <= most_bytes) & (measure[own] >= least)
-    return [counts, chars, [d[2] for d in docs], [d[3] for d in docs], repeat, failed, kept, per_token, byte_share, bits, script]
+    return [counts, chars, symbols, duplicate_lines(texts), repeat, failed, kept, per_token, byte_share, bits, script, n_tokens]
 
 
-def fertility_rules(df: DataFrame, bpe: str | None = None, pieces: str | None = None, bands: dict | None = None, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+def fertility_rules(df: DataFrame, ranks: str | None = None, pieces: str | None = None, bands: dict | None = None, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
     """Per row: base counts, base_failed, kept, and the fertility measures.
 
-    A null text is an empty one: no words, base_failed. ``bands`` is keyed by script and, if
-    ``lang`` names a column, by its values first; a band is like one of ``BANDS`` or of
-    ``LENGTH_BANDS``. Every row of repeated rows is judged; an
-    empty table gives no rows; other columns are ignored. ``bpe`` and ``pieces`` are paths of
-    public vocabularies on every executor.
+    A null or empty text has no words and is base_failed; a very long text is measured whole.
+    ``bands`` is keyed by script and, if ``lang`` names a column, by its values first (a null or
+    unknown one has the band of the script); a band is like one of ``BANDS`` or of
+    ``LENGTH_BANDS``, and a measure on its edge is inside. Every row of repeated rows is judged;
+    an empty table gives no rows; other columns, whatever their names, are ignored. ``ranks``
+    and ``pieces`` are paths of public vocabularies on every executor.
     """
     bands = BANDS | (bands or {})
     columns = [doc_id, text] + ([lang] if lang else [])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = Words(bpe or public_tokenizers.path("byte_bpe_50k.json"), pieces or public_tokenizers.path("piece_bpe_32k.model"))
+        vocabulary = vocabularies(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pieces or public_tokenizers.path("piece_bpe_32k.model"))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            langs = batch.column(2).to_pylist() if lang else [None] * len(ids)
-            held, size, first = [], 0, 0
-            for i in range(len(ids)):
-                b, *rest = base_counts(texts[i].as_py() or "")
-                held.append((b.split(), *rest))
-                size += len(held[-1][0])
-                if size >= CHUNK_WORDS or i + 1 == len(ids):
-                    out = score_chunk(words, held, langs[first : i + 1], bands)
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(held)).cast(pa.int64())] + [pa.array(v, t) for v, (_, t) in zip(out, FIELDS, strict=True)], names=["doc_id"] + [f for f, _ in FIELDS])
-                    held, size, first = [], 0, i + 1
+            for part in slices(batch, 1, CHUNK_BYTES):
+                langs = part.column(2).to_pylist() if lang else [None] * len(part)
+                out = score_chunk(vocabulary, part.column(1), langs, bands)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64())] + [pa.array(v, t) for v, (_, t) in zip(out, FIELDS, strict=True)], names=["doc_id"] + [f for f, _ in FIELDS])
+        trim()
 
     return df.select(*columns).mapInArrow(run, SCHEMA)
 
 
+WIDTHS = (5.0, 3.0)  # of a fitted band in robust deviations: characters per token both ways, entropy downwards
+LEAST_TEXTS = 30  # fewer texts of a language and length give no row
+
+
+def fit_bands(measured: DataFrame, langs: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> dict[str, tuple]:
+    """Bands like ``LENGTH_BANDS`` of all texts that pass the base rules; no labels are used.
+
+    measured: what ``fertility_rules`` gives; langs: (doc_id, lang). By language and log2 of the
+    tokens (rounded) the median of a measure, less or plus ``WIDTHS`` times 1.4826 median
+    deviations. Rows without language are left out; a language without ``LEAST_TEXTS`` texts of
+    any length has no band and falls back to its script.
+    """
+    key = [lang, "size"]
+    rows = measured.where("not base_failed and n_tokens > 0").select(doc_id, "chars_per_token", "token_entropy", F.round(F.log2("n_tokens")).cast("int").alias("size"))
+    rows = saved(rows.join(langs.select(doc_id, lang).where(F.col(lang).isNotNull()), doc_id))
+    mid = saved(rows.groupBy(*key).agg(F.count("*").alias("n"), F.median("chars_per_token").alias("c"), F.median("token_entropy").alias("e")).where(F.col("n") >= LEAST_TEXTS))
+    off = rows.join(F.broadcast(mid), key)  # a row for each language and power of two
+    off = off.groupBy(*key).agg(F.median(F.abs(F.col("chars_per_token") - F.col("c"))).alias("dc"), F.median(F.abs(F.col("token_entropy") - F.col("e"))).alias("de"))
+    out: dict[str, tuple] = {}
+    for r in mid.join(off, key).orderBy(*key).collect():
+        c, e = WIDTHS[0] * 1.4826 * r["dc"], WIDTHS[1] * 1.4826 * r["de"]
+        out[r[lang]] = (*out.get(r[lang], ()), (r["size"], r["c"] - c, r["c"] + c, r["e"] - e))
+    return out
+
+
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"), bands=LENGTH_BANDS, lang="lang")

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -143,3 +145,42 @@ def test_query_rejects_junk_of_each_language(spark, tmp_path):
     share = got.groupby(["lang", "kind"])["kept"].mean()
     for lang in ("de", "en", "es", "fr"):
         assert share[lang, 0] == 1 and share[lang, 1] == 0 and share[lang, 2] == 0
+
+
+def brute_measures(text):
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bpe.encode_special_tokens = True
+    words = [w.decode() for w in (text or "").encode().split()]
+    ids = bpe.encode(" " + " ".join(words), add_special_tokens=False).ids if words else []
+    n = np.unique(ids, return_counts=True)[1]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    flat = [p for w in words for p in pieces.encode(w)]
+    chars = sum(map(len, words))
+    entropy = float(-(n / n.sum() * np.log2(n / n.sum())).sum()) if len(n) else 0.0
+    return len(ids), chars / len(ids) if ids else 0.0, sum(pieces.IsByte(p) for p in flat) / len(flat) if flat else 0.0, entropy
+
+
+def test_measures_equal_those_of_whole_texts(spark):
+    texts = ["Plain words, and \"quoted\" ones: don't, I'll, 3.14 <|endoftext|> a_b", "Ünï cödé ß É ÿ × ÷ µ", "日本語 テキスト 🙂 \U00013000x", "Ελληνικά и русский ﬁ", " \n lead\tand trail \n", "x" * 30_000 + " y", "e\u0301 \u00a8 ½ \x01", "", None]
+    got = {r.doc_id: r for r in quality.fertility_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_tokens, r.chars_per_token, r.byte_share, r.token_entropy) == pytest.approx(brute_measures(t)), t
+
+
+def test_bands_are_those_of_the_corpus(spark):
+    sf = "/root/testdata/sf0.1"
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    got = quality.fit_bands(quality.fertility_rules(d), d)
+    for lang, rows in quality.LENGTH_BANDS.items():
+        near = {r[0]: r[1:] for r in got[lang]}
+        for size, *want in rows:
+            if 7 <= size <= 11:
+                assert near[size] == pytest.approx(want, abs=0.25), (lang, size)  # the constants were fitted in slightly other bins
+
+
+def test_fitted_bands_leave_small_groups_to_the_script(spark):
+    rows = [(i, "some ordinary words of a text that says little but is long enough " + str(i), "en" if i < 40 else "fr" if i < 45 else None) for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(quality.fit_bands(quality.fertility_rules(d), d)) == {"en"}
+    assert quality.fit_bands(quality.fertility_rules(d.limit(0)), d) == {}
