@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,37 @@ def default_folders(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.element_at(F.split("path", "/"), 1).alias("folder")).distinct()
 
 
+def select_folders(catalog: DataFrame, folders: list[str]) -> DataFrame:
+    """The named folders, or all first parts of catalog paths; a name that is empty, climbs, or has no catalog path is an error."""
+    if not folders:
+        return default_folders(catalog)
+    names = sorted({"/".join(p for p in f.replace("\\", "/").split("/") if p not in ("", ".")) for f in folders})
+    names = sorted({unicodedata.normalize("NFC", f).casefold() for f in names})
+    wrong = [f for f in names if not f or ".." in f.split("/")]
+    if wrong:
+        raise ValueError("a folder must be a relative catalog prefix without '..'")
+    chosen = catalog.sparkSession.createDataFrame([(f,) for f in names], "folder string")
+    below = catalog.select(F.explode(ancestors(F.col("path"))).alias("folder")).distinct()
+    unknown = chosen.join(below, "folder", "left_anti").orderBy("folder").limit(1).collect()
+    if unknown:
+        raise ValueError(f"folder not found in the catalog: {unknown[0]['folder']}")
+    return chosen
+
+
+#: Notes of a folder's summary.
+UNKNOWN_NOTE = "Presence only; unknown sizes require review"
+REPORT_NOTE = "Report diagnostics are global informational metadata; not localized to this folder"
+
+
+def with_report(summary: DataFrame, stats: DataFrame) -> DataFrame:
+    """Folder summaries with report_parse_issues, report_count_mismatches and notes of the one report whose stats these are."""
+    counts = stats.agg(F.coalesce(F.sum("issues"), F.lit(0)).alias("report_parse_issues"), F.count_if(F.coalesce("difference", F.lit(0)) != 0).alias("report_count_mismatches"))
+    df = summary.join(F.broadcast(counts), F.lit(True))  # one row
+    odd = (F.col("report_parse_issues") > 0) | (F.col("report_count_mismatches") > 0)
+    notes = F.array(F.when(F.col("size_unknown") > 0, UNKNOWN_NOTE), F.when(odd, REPORT_NOTE))
+    return df.withColumn("notes", F.array_join(F.array_compact(notes), "; "))
+
+
 def path_status(catalog: DataFrame, observed: DataFrame) -> DataFrame:
     """(path, status, notes) for each catalog path.
 
@@ -39,6 +72,7 @@ def path_status(catalog: DataFrame, observed: DataFrame) -> DataFrame:
         F.when((c("sizes") > 1) | (c("ranges") > 1), "SIZE_CONFLICT").when(c("unsafe") > 0, "CONFLICT").when(c("seen").isNull(), "MISSING_ON_REPORT").when(c("matches").isNull(), "CASSETTE_CONFLICT")
         .when((c("sizes") > 0) & (c("ranges") > 0) & ~c("size").between(c("lo"), c("hi")), "SIZE_CONFLICT").when((c("sizes") == 0) | (c("no_size") > 0) | (c("unsized") > 0), "PATH_MATCH_SIZE_UNKNOWN").otherwise("EXACT")
     )
+    #: Notes of a file's status.
     notes = F.when((c("sizes") > 1) | (c("ranges") > 1), "Conflicting duplicate sizes/intervals; manual review").when(c("status") == "CONFLICT", "Incomplete or unsafe catalog identity; manual review").when(c("status") == "CASSETTE_CONFLICT", "Same full path only on unexpected cassette").otherwise("")
     return df.withColumn("status", status).select("path", "status", notes.alias("notes"))
 

@@ -103,6 +103,12 @@ def _direct_status() -> Column:
     )
 
 
+def size_matches(manifest: DataFrame, storage: DataFrame) -> DataFrame:
+    """(norm_path, size_bytes, tape, lo, hi): every storage row with every entry of its path whose interval holds its size."""
+    entries = manifest.select("norm_path", "tape", F.col("size_min_bytes").alias("lo"), F.col("size_max_bytes").alias("hi"))
+    return storage.select("norm_path", "size_bytes").join(entries, "norm_path").where(within(F.col("size_bytes"), F.col("lo"), F.col("hi")))
+
+
 @dataclass
 class Reconciled:
     """What a manifest and an inventory say of each other.

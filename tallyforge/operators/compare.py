@@ -66,7 +66,7 @@ def all_results(done: Reconciled) -> DataFrame:
 
 def copy_list(done: Reconciled) -> DataFrame:
     """Files to copy: first rows that are missing on tape, by root and path."""
-    return done.firsts.where(F.col("status") == "MISSING_ON_LTO").select("source_root", "relative_path", "absolute_path", "size_bytes")
+    return done.firsts.where(F.col("status") == "MISSING_ON_LTO").select("source_root", "norm_path", "relative_path", "relative_path_bytes", "absolute_path", "size_bytes")
 
 
 def summary(done: Reconciled, manifest: DataFrame) -> DataFrame:

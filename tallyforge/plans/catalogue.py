@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, sizes
 from ..operators import archive, classify, compare, discovery, folders
-from ..sources import derived, lines
+from ..sources import derived, lines, registry
 from . import reconcile_sql as sql
 
 QUERIES: dict = {}
@@ -156,9 +156,7 @@ def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("size_match_residual_join", sql.derived("SELECT st.path AS norm_path, st.size AS size_bytes, mf.tape, mf.lo, mf.hi FROM st JOIN mf USING (path) WHERE st.size BETWEEN mf.lo AND mf.hi"))
 def size_match_residual_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, s = _both(spark, sf_dir)
-    j = s.select("norm_path", "size_bytes").join(m.select("norm_path", "tape", F.col("size_min_bytes").alias("lo"), F.col("size_max_bytes").alias("hi")), "norm_path")
-    return j.where(F.col("size_bytes").between(F.col("lo"), F.col("hi")))
+    return classify.size_matches(*_both(spark, sf_dir))
 
 
 _ROWS = "SELECT source_root, path AS norm_path, size AS size_bytes, status, verified, lto_kind AS lto_duplicate_kind, storage_kind AS storage_duplicate_kind, CASE WHEN status = 'POSSIBLE_MOVED_WITHIN_TOP_FOLDER' THEN from_path END AS moved_from FROM cl"
@@ -228,7 +226,7 @@ def zero_size_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("copy_list", sql.classified("SELECT source_root, path AS relative_path, source_root || '/' || path AS absolute_path, size AS size_bytes FROM rp WHERE status = 'MISSING_ON_LTO'"))
 def copy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.copy_list(classify.reconcile(*_both(spark, sf_dir)))
+    return compare.copy_list(classify.reconcile(*_both(spark, sf_dir))).drop("norm_path", "relative_path_bytes")
 
 
 _SUMMARY = """
@@ -388,27 +386,34 @@ def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "issue_localization",
-    """WITH e AS (SELECT 'R' || (user_id % 3) AS root, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'f' || (user_id % 20) END AS top, event_type AS kind FROM events WHERE event_id % 5 <> 0),
-    f AS (SELECT DISTINCT root, top FROM e WHERE top IS NOT NULL), a AS (SELECT root, top, kind FROM e WHERE top IS NOT NULL UNION ALL SELECT f.root, f.top, e.kind FROM f JOIN e ON e.root = f.root AND e.top IS NULL)
-    SELECT '/mnt/' || root AS source_root, top AS folder, string_agg(DISTINCT kind, ' | ' ORDER BY kind) AS issue_types, count(*) AS issue_count FROM a GROUP BY ALL""",
+    """WITH e AS (SELECT 'R' || (user_id % 3) AS root, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'f' || (user_id % 20) END AS top, event_type AS kind FROM events),
+    f AS (SELECT DISTINCT root, top FROM e WHERE top IS NOT NULL UNION SELECT 'R' || (c_custkey % 3), 'g' || (c_custkey % 7) FROM customer),
+    a AS (SELECT root, top, kind FROM e WHERE top IS NOT NULL UNION ALL SELECT f.root, f.top, e.kind FROM f JOIN e ON e.root = f.root AND e.top IS NULL),
+    n AS (SELECT root, top, string_agg(DISTINCT kind, ' | ' ORDER BY kind) AS issue_types, count(*) AS issue_count FROM a GROUP BY ALL)
+    SELECT '/mnt/' || f.root AS source_root, f.top AS folder, issue_types, issue_count FROM f LEFT JOIN n ON n.root = f.root AND n.top = f.top""",
 )
 def issue_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as issues of three roots; folders of customers have no issue of their own."""
     root = F.concat(F.lit("/mnt/R"), (F.col("user_id") % 3).cast("string"))
     path = F.when(F.col("event_id") % 4 == 0, root).otherwise(F.concat(root, F.lit("/f"), (F.col("user_id") % 20).cast("string"), F.lit("/x.mov")))
-    issues = _table(spark, sf_dir, "events").where("event_id % 5 <> 0").select(root.alias("source_root"), path.alias("path"), F.col("event_type").alias("issue_type"), F.lit("").alias("details"))
-    none = spark.createDataFrame([], "source_root string, top_raw binary")
-    out = folders.folder_issues(none, issues)
+    issues = _table(spark, sf_dir, "events").select(root.alias("source_root"), path.alias("path"), F.col("event_type").alias("issue_type"), F.lit("").alias("details"))
+    key = F.col("c_custkey")
+    own = _table(spark, sf_dir, "customer").select(F.concat(F.lit("/mnt/R"), (key % 3).cast("string")).alias("source_root"), F.concat(F.lit("g"), (key % 7).cast("string")).cast("binary").alias("top_raw")).distinct()
+    out = folders.folder_issues(own, issues)
     return out.select("source_root", F.col("top_raw").cast("string").alias("folder"), F.array_join("issue_types", " | ").alias("issue_types"), "issue_count")
 
 
 # --- imports and inventories -------------------------------------------------------------------------
 
 
-@query("scan_count_integrity", "SELECT 'R' || c_nationkey AS source_root, count(*) AS actual, count(*) + CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END AS expected, c_nationkey % 3 = 0 AS short FROM customer GROUP BY c_nationkey")
+@query("scan_count_integrity", "SELECT 'R' || c_nationkey AS source_root, count(*) + CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END AS expected, count(*) AS actual, c_nationkey % 3 = 0 AS short FROM customer GROUP BY c_nationkey UNION ALL SELECT 'lost', 5, 0, true")
 def scan_count_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("actual"))
-    c = c.select(F.concat(F.lit("R"), F.col("c_nationkey").cast("string")).alias("source_root"), "actual", (F.col("actual") + F.when(F.col("c_nationkey") % 3 == 0, 1).otherwise(0)).alias("expected"))
-    return c.withColumn("short", F.col("actual") != F.col("expected"))
+    """Files of customers by nation; scans counted one more for every third nation, and a root whose files are all gone."""
+    root = F.concat(F.lit("R"), F.col("c_nationkey").cast("string")).alias("source_root")
+    actual = _table(spark, sf_dir, "customer").groupBy(root, "c_nationkey").agg(F.count("*").alias("actual"))
+    expected = actual.select("source_root", (F.col("actual") + F.when(F.col("c_nationkey") % 3 == 0, 1).otherwise(0)).alias("files"))
+    lost = spark.createDataFrame([("lost", 5)], "source_root string, files long")
+    return folders.short_roots(expected.unionByName(lost), actual.select("source_root", "actual"))
 
 
 @query("snapshot_diff", "WITH a AS (SELECT c_custkey AS k, c_name AS n FROM customer), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_name || '*' ELSE c_name END AS n FROM customer WHERE c_custkey % 11 <> 0) SELECT k, n, 'only_old' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT k, n, 'only_new' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
@@ -420,27 +425,65 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_difference(a, b)
 
 
-@query("legacy_source_union", "SELECT n_name AS source FROM nation UNION SELECT c_mktsegment FROM customer UNION SELECT s_name FROM supplier")
+@query("legacy_source_union", "SELECT 'R' || n_nationkey AS source_root FROM nation UNION SELECT 'R' || c_nationkey FROM customer UNION SELECT 'S' || s_nationkey FROM supplier")
 def legacy_source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_table(spark, sf_dir, t).select(F.col(c).alias("source")) for t, c in (("nation", "n_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"))]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
+    parts = (("nation", "R", "n_nationkey"), ("customer", "R", "c_nationkey"), ("supplier", "S", "s_nationkey"))
+    return registry.union_roots([_table(spark, sf_dir, t).select(F.concat(F.lit(r), F.col(c).cast("string")).alias("source_root")) for t, r, c in parts])
 
 
-@query("server_volume_inventory", "SELECT r_name AS server, n_name AS volume, count(*) AS scans FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
-def server_volume_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan for each supplier, of its nation's volume on its region's server."""
     s, n, r = (_table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("server"), F.col("n_name").alias("volume")).agg(F.count("*").alias("scans"))
+    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations, 5 regions
+    return rows.select(
+        F.col("s_suppkey").cast("string").alias("snapshot_id"), F.col("r_name").alias("server"), F.concat(F.lit("10.0.0."), F.col("r_regionkey").cast("string")).alias("server_ip"), F.col("n_name").alias("volume"),
+        F.concat(F.lit("/mnt/"), "n_name").alias("volume_root"), (F.col("s_suppkey") % 100).cast("long").alias("files"), F.round(F.col("s_acctbal") * 100).cast("long").alias("bytes"), F.lit(0).cast("long").alias("issues"),
+    )
+
+
+@query("server_volume_inventory", "SELECT r_name AS server, '10.0.0.' || r_regionkey AS server_ip, n_name AS volume, '/mnt/' || n_name AS volume_root, count(*) AS scans, CAST(sum(s_suppkey % 100) AS BIGINT) AS files, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS BIGINT) AS bytes FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def server_volume_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.volumes(_scans(spark, sf_dir))
 
 
-@query("report_with_stats", "SELECT o_orderkey AS report_id, o_orderpriority AS source_pdf, s.extracted_files FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS extracted_files FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) s ON l_orderkey = o_orderkey")
+@query(
+    "scan_identity_conflicts",
+    """SELECT 'server' AS conflict, r_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0 GROUP BY ALL
+    UNION ALL SELECT 'volume', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 = 0 GROUP BY ALL
+    UNION ALL SELECT 'snapshot', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey % 4 = 0 OR s_nationkey % 5 = 0 OR s_suppkey % 9 = 0""",
+)
+def scan_identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scans again, some from a server of another address, from a moved volume, or with another count."""
+    known = _scans(spark, sf_dir)
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("volume"), "n_nationkey")
+    again = known.join(F.broadcast(nation), "volume")  # 25 nations
+    again = again.withColumns({
+        "server_ip": F.when(F.col("n_nationkey") % 4 == 0, "other").otherwise(F.col("server_ip")), "volume_root": F.when(F.col("n_nationkey") % 5 == 0, "/other").otherwise(F.col("volume_root")),
+        "files": F.col("files") + F.when(F.col("snapshot_id").cast("long") % 9 == 0, 1).otherwise(0),
+    })
+    return registry.conflicts(known, again.drop("n_nationkey"))
+
+
+@query("report_with_stats", "SELECT CAST(o_orderkey AS VARCHAR) AS report_id, CASE WHEN o_orderkey % 3 = 0 THEN 'binary' ELSE 'decimal' END AS units, s.extracted_files, s.difference FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS extracted_files, count(*) - max(l_linenumber) AS difference FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey")
 def report_with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("extracted_files"))
-    return _table(spark, sf_dir, "orders").join(s, "o_orderkey", "left").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderpriority").alias("source_pdf"), "extracted_files")
+    """A report for each order, without units unless they are binary; its counts are of its lines."""
+    stats = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("content_sha256")).agg(F.count("*").alias("extracted_files"), (F.count("*") - F.max("l_linenumber")).alias("difference"))
+    entries = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("content_sha256"), F.when(F.col("o_orderkey") % 3 == 0, "binary").alias("units"))
+    return registry.with_stats(entries, stats).select(F.col("content_sha256").alias("report_id"), "units", "extracted_files", "difference")
 
 
-@query("content_identity_dedup", "SELECT sha256(text) AS content_sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY ALL")
+@query("content_identity_dedup", "SELECT sha256(text) AS content_sha256, min(CAST(doc_id AS VARCHAR)) AS source, count(*) AS copies FROM documents GROUP BY ALL")
 def content_identity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return registry.distinct_contents(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content")))
+
+
+@query("metadata_latest", "WITH v AS (SELECT CASE user_id % 4 WHEN 0 THEN 'server_ip' WHEN 1 THEN 'pdf_size_units' ELSE 'k' || (user_id % 50) END AS key, event_id AS ev FROM events), m AS (SELECT key, max(ev) AS ev FROM v GROUP BY key) SELECT key, 'v' || ev AS value FROM m UNION ALL SELECT k, d FROM (VALUES ('pdf_size_units', 'decimal'), ('server_hostname', ''), ('server_ip', ''), ('volume_name', ''), ('volume_root', '')) x(k, d) WHERE k NOT IN (SELECT key FROM m)")
+def metadata_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata writes made of events; keys that nobody wrote have their legacy default."""
+    u = F.col("user_id") % 4
+    key = F.when(u == 0, "server_ip").when(u == 1, "pdf_size_units").otherwise(F.concat(F.lit("k"), (F.col("user_id") % 50).cast("string")))
+    values = _table(spark, sf_dir, "events").select(key.alias("key"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"), F.col("event_id").alias("at"))
+    return registry.latest(values)
 
 
 # --- discovery -----------------------------------------------------------------------------------------
@@ -465,7 +508,8 @@ fl AS (SELECT folder, below, min(size) AS size FROM iv GROUP BY ALL HAVING count
 nm AS (SELECT DISTINCT an.top, iv.folder FROM (SELECT DISTINCT top FROM mf) an JOIN iv ON iv.name = an.top),
 hi AS (SELECT nm.top, nm.folder, false AS fallback, an.sized, an.lo, an.hi, fl.size FROM nm JOIN an USING (top) LEFT JOIN fl ON fl.folder = nm.folder AND fl.below = an.below
   UNION ALL SELECT an.top, fl.folder, true, an.sized, an.lo, an.hi, fl.size FROM an JOIN fl USING (below) WHERE distinctive AND top NOT IN (SELECT top FROM nm)),
-sc AS (SELECT top, folder, fallback, count(size) AS path_matched, count(*) FILTER (sized AND size BETWEEN lo AND hi) AS size_matched, count(*) FILTER (sized AND NOT (size BETWEEN lo AND hi)) AS size_mismatched, count(*) FILTER (NOT sized AND size IS NOT NULL) AS unknown_matched FROM hi GROUP BY ALL)"""
+sc0 AS (SELECT top, folder, fallback, count(size) AS path_matched, count(*) FILTER (sized AND size BETWEEN lo AND hi) AS size_matched, count(*) FILTER (sized AND NOT (size BETWEEN lo AND hi)) AS size_mismatched, count(*) FILTER (NOT sized AND size IS NOT NULL) AS unknown_matched FROM hi GROUP BY ALL),
+sc AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY size_matched DESC, path_matched DESC, size_mismatched, folder) AS rank FROM sc0)"""
 
 
 @query("anchor_topk", sql.derived("").rstrip() + _DISC + " SELECT top AS norm_top_folder, path AS norm_path, sized, CASE WHEN sized THEN lo END AS lo, CASE WHEN sized THEN hi END AS hi, distinctive, CAST(place AS INTEGER) AS place FROM an")
@@ -478,16 +522,20 @@ def anchor_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.frequencies(derived.manifest(spark, sf_dir))[0]
 
 
-@query("discover_scores", sql.derived("").rstrip() + _DISC + " SELECT top AS norm_top_folder, folder, fallback, path_matched, size_matched, size_mismatched, unknown_matched FROM sc")
+@query("discover_scores", sql.derived("").rstrip() + _DISC + " SELECT top AS norm_top_folder, folder, fallback, path_matched, size_matched, size_mismatched, unknown_matched, CAST(rank AS INTEGER) AS rank FROM sc")
 def discover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.scores(derived.manifest(spark, sf_dir), _inventory(spark, sf_dir)).drop("readable")
+    m = derived.manifest(spark, sf_dir)
+    return discovery.scores(m, _inventory(spark, sf_dir), discovery.anchors(m)).drop("readable")
 
 
 @query(
     "discover_mapping",
     sql.derived("").rstrip() + _DISC + """,
-pm AS (SELECT top, count(*) AS c, count(*) FILTER (size_matched >= 2 AND size_mismatched = 0) AS s, count(*) FILTER (path_matched > 0 AND size_mismatched = 0) AS p, max(folder) FILTER (size_matched >= 2 AND size_mismatched = 0) AS f FROM sc GROUP BY top)
-SELECT t.top AS norm_top_folder, CASE WHEN c IS NULL THEN 'NOT_FOUND' WHEN s = 1 THEN 'MATCHED' WHEN s > 1 OR p > 1 THEN 'AMBIGUOUS' ELSE 'NAME_MATCH_UNVERIFIED' END AS status, CASE WHEN s = 1 THEN f ELSE '' END AS physical_folder, coalesce(c, 0) AS candidate_count FROM (SELECT DISTINCT top FROM mf) t LEFT JOIN pm USING (top)""",
+pm AS (SELECT top, count(*) AS c, count(*) FILTER (size_matched >= 2 AND size_mismatched = 0) AS s, count(*) FILTER (path_matched > 0 AND size_mismatched = 0) AS p, min(rank) FILTER (size_matched >= 2 AND size_mismatched = 0) AS sr FROM sc GROUP BY top),
+tested AS (SELECT top, count(*) AS n, count(*) FILTER (distinctive) AS far FROM an GROUP BY top)
+SELECT t.top AS lto_top_folder, t.top AS normalized_lto_top_folder, CASE WHEN c IS NULL THEN 'NOT_FOUND' WHEN s = 1 THEN 'MATCHED' WHEN s > 1 OR p > 1 THEN 'AMBIGUOUS' ELSE 'NAME_MATCH_UNVERIFIED' END AS status, CASE WHEN s = 1 OR c = 1 THEN folder ELSE '' END AS physical_folder, coalesce(c, 0) AS candidate_count,
+  coalesce(CASE WHEN t.top IN (SELECT top FROM nm) THEN n ELSE far END, 0) AS anchors_tested, path_matched AS anchors_path_matched, size_matched AS anchors_size_matched, size_mismatched AS anchors_size_mismatched, unknown_matched AS unknown_size_paths_matched
+FROM (SELECT DISTINCT top FROM mf) t LEFT JOIN pm USING (top) LEFT JOIN tested USING (top) LEFT JOIN sc ON sc.top = t.top AND sc.rank = CASE WHEN s = 1 THEN sr ELSE 1 END""",
 )
 def discover_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.mapping(derived.manifest(spark, sf_dir), _inventory(spark, sf_dir)).drop("confidence_reason")
@@ -547,25 +595,26 @@ def archive_folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells made of conversations: a sheet for each role, a column for each turn."""
-    c = _table(spark, sf_dir, "conversations").where("turn < 4")
-    row = (F.col("conv_id") % 40 + 2).cast("long")
+    """Cells made of conversations: a workbook for each 40 of them, a sheet for each role, a column for each turn."""
+    c = _table(spark, sf_dir, "conversations")
+    book, col = F.call_function("div", F.col("conv_id"), F.lit(40)).cast("string").alias("workbook"), F.concat(F.lit("C"), F.col("turn").cast("string")).alias("col")
+    row = (F.col("conv_id") % 40 + 2).cast("long").alias("row")
     value = F.when((F.col("conv_id") % 40 == 0) & (F.col("turn") % 2 == 0), F.concat(F.lit("VU"), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("f"), F.col("conv_id").cast("string"), F.lit("/")))
-    rows = c.groupBy(F.col("role").alias("sheet"), row.alias("row"), F.concat(F.lit("C"), F.col("turn").cast("string")).alias("col")).agg(F.min(value).alias("value"))
-    heads = c.select(F.col("role").alias("sheet"), F.lit(1).cast("long").alias("row"), F.concat(F.lit("C"), F.col("turn").cast("string")).alias("col"), F.concat(F.lit("CXZ30"), F.col("turn").cast("string"), F.lit("L7")).alias("value")).where("turn < 3").distinct()
-    return rows.unionByName(heads).withColumn("workbook", F.lit("book"))
+    rows = c.groupBy(book, F.col("role").alias("sheet"), row, col).agg(F.min(value).alias("value"))
+    label = F.concat(F.lit("CXZ"), F.lpad((F.col("turn") + 100).cast("string"), 3, "0"), F.lit("L7"))
+    heads = c.where("turn % 5 <> 4").select(book, F.col("role").alias("sheet"), F.lit(1).cast("long").alias("row"), col, label.alias("value")).distinct()  # every fifth column has no tape
+    return rows.unionByName(heads)
 
 
-_CELLS = """WITH c AS (SELECT * FROM conversations WHERE turn < 4),
-b AS (SELECT role AS sheet, conv_id % 40 + 2 AS row, 'C' || turn AS col, min(CASE WHEN conv_id % 40 = 0 AND turn % 2 = 0 THEN 'VU' || turn ELSE 'f' || conv_id || '/' END) AS value FROM c GROUP BY ALL),
-h AS (SELECT DISTINCT role AS sheet, 'C' || turn AS col, 'CXZ30' || turn || 'L7' AS cassette FROM c WHERE turn < 3)"""
+_CELLS = """WITH b AS (SELECT CAST(conv_id // 40 AS VARCHAR) AS workbook, role AS sheet, conv_id % 40 + 2 AS row, 'C' || turn AS col, min(CASE WHEN conv_id % 40 = 0 AND turn % 2 = 0 THEN 'VU' || turn ELSE 'f' || conv_id || '/' END) AS value FROM conversations GROUP BY ALL),
+h AS (SELECT DISTINCT CAST(conv_id // 40 AS VARCHAR) AS workbook, role AS sheet, 'C' || turn AS col, 'CXZ' || (turn + 100) || 'L7' AS cassette, 'cxz' || (turn + 100) AS norm FROM conversations WHERE turn % 5 <> 4)"""
 
 
-@query("manual_map_unpivot", _CELLS + " SELECT b.sheet, b.row, b.col, cassette, 'cxz30' || substr(b.col, 2) AS cassette_norm, coalesce(n.value, '') AS note, b.value AS folder, trim(lower(b.value), '/') AS folder_norm FROM b JOIN h USING (sheet, col) LEFT JOIN b n ON n.sheet = b.sheet AND n.col = b.col AND n.row = 2 AND regexp_full_match(rtrim(n.value, '/'), '[A-Za-z_ -]+[0-9]+') WHERE NOT (b.row = 2 AND regexp_full_match(rtrim(b.value, '/'), '[A-Za-z_ -]+[0-9]+'))")
+@query("manual_map_unpivot", _CELLS + " SELECT b.workbook, b.sheet, b.row, b.col, cassette, norm AS cassette_norm, coalesce(n.value, '') AS note, b.value AS folder, trim(lower(b.value), '/') AS folder_norm FROM b JOIN h USING (workbook, sheet, col) LEFT JOIN b n ON n.workbook = b.workbook AND n.sheet = b.sheet AND n.col = b.col AND n.row = 2 AND regexp_full_match(rtrim(n.value, '/'), '[A-Za-z_ -]+[0-9]+') WHERE NOT (b.row = 2 AND regexp_full_match(rtrim(b.value, '/'), '[A-Za-z_ -]+[0-9]+'))")
 def manual_map_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.xlsx import cassette_map
 
-    return cassette_map(_cells(spark, sf_dir), ascii_only=True).drop("workbook")
+    return cassette_map(_cells(spark, sf_dir), ascii_only=True)
 
 
 @query("catalog_header_discovery", "WITH c AS (SELECT conv_id % 50 AS book, turn AS row, role AS value FROM conversations), f AS (SELECT book, row FROM c WHERE value IN ('user', 'assistant') GROUP BY ALL HAVING count(DISTINCT value) = 2) SELECT CAST(book AS VARCHAR) AS workbook, min(row) AS header_row FROM f GROUP BY book")

@@ -1,10 +1,11 @@
-"""Filesystem inventories: a metadata-only walk, one task for each top folder."""
+"""Filesystem inventories: a metadata-only walk, one task for each folder of the second level."""
 
 from __future__ import annotations
 
 import os
 import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,45 +48,79 @@ def walk(root: bytes, below: bytes) -> Iterator[tuple]:
         todo += reversed(inner)
 
 
-def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Found files and issues of roots that every executor mounts. The driver lists only the first level."""
-    tasks = []
-    for root in roots:
-        raw = os.fsencode(root)
-        tasks.append((root, None))
-        with os.scandir(raw) as found:
-            tasks += [(root, e.name) for e in found if e.is_dir(follow_symlinks=False) and not e.name.startswith(b".")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for root, top in zip(pdf["root"], pdf["top"], strict=True):
-                raw = os.fsencode(root)
-                rows = walk(raw, bytes(top)) if top is not None else (r for r in _first_level(raw))
-                yield pd.DataFrame([(root, *r) for r in rows], columns=["source_root", "relative_path_bytes", "size_bytes", "mtime_ns", "issue_path", "issue_type"]).astype({"size_bytes": "Int64", "mtime_ns": "Int64"})
-
-    return spark.createDataFrame(tasks, "root string, top binary").repartition(max(1, len(tasks))).mapInPandas(run, FOUND)
+CHUNK = 5_000  # files that a task holds before it hands them on
+COLUMNS = ["source_root", "relative_path_bytes", "size_bytes", "mtime_ns", "issue_path", "issue_type"]
 
 
-def _first_level(root: bytes) -> Iterator[tuple]:
-    for e in sorted(os.scandir(root), key=lambda e: e.name):
-        if e.name.startswith(b".") or e.is_dir(follow_symlinks=False):
+def first_levels(root: bytes, below: bytes, levels: int) -> Iterator[tuple]:
+    """Like ``walk``, but folders ``levels`` down are not entered: they come as rows whose issue is None and whose size is None."""
+    folder = os.path.join(root, below) if below else root
+    try:
+        with os.scandir(folder) as found:
+            items = sorted(found, key=lambda e: e.name)
+    except OSError as e:
+        yield None, None, None, below, f"directory_read_error:{e.__class__.__name__}"
+        return
+    for e in items:
+        if e.name.startswith(b"."):
             continue
-        s = e.stat(follow_symlinks=False)
-        if stat.S_ISREG(s.st_mode):
-            yield e.name, s.st_size, s.st_mtime_ns, None, None
+        rel = os.path.join(below, e.name) if below else e.name
+        try:
+            s = e.stat(follow_symlinks=False)
+        except OSError as x:
+            yield None, None, None, rel, f"file_stat_error:{x.__class__.__name__}"
+            continue
+        if stat.S_ISDIR(s.st_mode):
+            if levels > 1:
+                yield from first_levels(root, rel, levels - 1)
+            else:
+                yield rel, None, None, None, None
+        elif stat.S_ISREG(s.st_mode):
+            yield rel, s.st_size, s.st_mtime_ns, None, None
         else:
-            yield None, None, None, e.name, "symlink_skipped" if stat.S_ISLNK(s.st_mode) else "special_file_skipped"
+            yield None, None, None, rel, "symlink_skipped" if stat.S_ISLNK(s.st_mode) else "special_file_skipped"
+
+
+def scan(spark: SparkSession, roots: list[str], below: dict[str, list[bytes]] | None = None) -> DataFrame:
+    """Found files and issues of roots that every executor mounts.
+
+    ``below`` restricts a root to some of its top folders. The driver lists two levels; each
+    folder there is a task, so one large top folder spreads. Rows leave a task in chunks.
+    """
+    starts = [(root, top) for root in roots for top in ((below or {}).get(root) or [b""])]
+    tasks, near = [], []
+    for root, top in starts:
+        for row in first_levels(os.fsencode(root), top, 1 if top else 2):
+            if row[0] is not None and row[1] is None:
+                tasks.append((root, row[0]))
+            else:
+                near.append((root, *row))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for root, folder in zip(pdf["root"], pdf["folder"], strict=True):
+                rows = walk(os.fsencode(root), bytes(folder))
+                while chunk := list(islice(rows, CHUNK)):
+                    yield pd.DataFrame([(root, *r) for r in chunk], columns=COLUMNS).astype({"size_bytes": "Int64", "mtime_ns": "Int64"})
+
+    first = spark.createDataFrame(near, FOUND)
+    if not tasks:
+        return first
+    far = spark.createDataFrame(tasks, "root string, folder binary").repartition(len(tasks)).mapInPandas(run, FOUND)
+    return first.unionByName(far)
 
 
-def inventory(found: DataFrame, logical_tops: dict[bytes, str] | None = None, ascii_only: bool = False) -> DataFrame:
-    """Storage rows of found files. ``logical_tops`` renames top folders in the keys, never in the raw bytes."""
+def inventory(found: DataFrame, logical_tops: dict[tuple[str, bytes], str] | None = None, ascii_only: bool = False) -> DataFrame:
+    """Storage rows of found files. ``logical_tops`` renames top folders, by (root, raw name), in the keys, never in the raw bytes."""
     raw = F.col("relative_path_bytes")
     text, valid = raw.cast("string"), F.is_valid_utf8(raw.cast("string"))
     key = raw_key(raw, ascii_only)
-    for physical, logical in (logical_tops or {}).items():
-        top = F.lit(physical.decode("utf-8"))
-        renamed = F.concat(F.lit(logical), F.substring(text, F.length(top) + 1, F.length(text)))
-        key = F.when(valid & (F.substring_index(text, "/", 1) == top), raw_key(renamed.cast("binary"), ascii_only)).otherwise(key)
+    if logical_tops:  # the driver's own list, a row for each mapped folder
+        names = [(root, top, logical) for (root, top), logical in logical_tops.items()]
+        names = found.sparkSession.createDataFrame(names, "source_root string, _top binary, _logical string")
+        found = found.withColumn("_top", F.substring_index(text, "/", 1).cast("binary")).join(F.broadcast(names), ["source_root", "_top"], "left")
+        renamed = F.concat(F.col("_logical"), F.substring(text, F.length(F.substring_index(text, "/", 1)) + 1, F.length(text)))
+        key = raw_key(F.when(valid & F.col("_logical").isNotNull(), renamed.cast("binary")).otherwise(raw), ascii_only)
     rows = found.where("relative_path_bytes is not null").withColumns({"norm_path": key, "relative_path": raw_display(raw), "path_encoding_valid": valid.cast("int")})
     top, name = F.substring_index("relative_path", "/", 1), F.substring_index("relative_path", "/", -1)
     return rows.select(

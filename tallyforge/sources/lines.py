@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from decimal import ROUND_CEILING, Decimal
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,7 +202,11 @@ def _parse(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
 
 def parse_lines(lines: DataFrame, units: str = "decimal") -> DataFrame:
     """Of (pdf, line_no, page, line): rows of kind 'entry', 'issue' and 'report' (one for each report)."""
-    return lines.groupBy("pdf").applyInPandas(partial(_parse, mode=units), PARSED)
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _parse(pdf, units)
+
+    return lines.groupBy("pdf").applyInPandas(parse, PARSED)
 
 
 def entries(parsed: DataFrame, ascii_only: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import io
 import json
 import os
 import zipfile
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths, sizes
-from tallyforge.sources import filesystem, lines, registry, sinks, snapshot, xlsx
+from tallyforge.sources import filesystem, lines, registry, roots, sinks, snapshot, xlsx
 from tallyforge.streaming import incremental
 
 
@@ -131,7 +132,7 @@ def test_scan_snapshot_and_sinks(spark, tmp_path):
     with open(os.fsencode(root) + b"/Prj/\xff.bin", "wb") as f:
         f.write(b"123")
     found = filesystem.scan(spark, [str(root)]).cache()
-    inv = filesystem.inventory(found, {b"Prj": "Logical"})
+    inv = filesystem.inventory(found, {(str(root), b"Prj"): "Logical"})
     got = {r.norm_path: r for r in inv.collect()}
     assert set(got) == {"logical/sub/a.mov", "top.txt", "__NON_UTF8_RAW_BYTES__/5072" + "6a2fff2e62696e"}
     assert got["logical/sub/a.mov"].size_bytes == 5 and got["logical/sub/a.mov"].top_folder == "Prj"
@@ -171,22 +172,152 @@ def test_import_once_by_batch_and_stream(spark, tmp_path):
         registry.new_sources(spark, store, spark.createDataFrame([(next(r.source for r in registry.registry(spark, store).collect() if "two" in r.source), "other")], "source string, content_sha256 string"), "manifest")
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     from tallyforge.__main__ import main
 
     root, store = tmp_path / "src", str(tmp_path / "store")
     (root / "prj").mkdir(parents=True)
     (root / "prj" / "card1.png").write_bytes(b"x" * 2000)
+    (root / "prj" / "new.bin").write_bytes(b"y")
     (tmp_path / "r.txt").write_text(REPORT)
-    assert main(["import-report", store, str(tmp_path / "r.txt")], spark) == "IMPORTED:5"
-    assert main(["scan", str(tmp_path / "snap"), str(root)], spark) == "COMPLETE:1"
-    assert main(["import-scan", store, str(tmp_path / "snap")], spark) == "IMPORTED:1"
-    assert main(["import-scan", store, str(tmp_path / "snap")], spark) == "ALREADY_IMPORTED"
-    assert main(["compare", store, str(tmp_path / "out")], spark) == "PATHS:1"
-    assert json.loads((tmp_path / "out" / "summary.json").read_text())["MATCH"] == 1
-    assert main(["deletable-folders", store, str(tmp_path / "del")], spark) == "SAFE:1"
-    assert (tmp_path / "del" / "safe_folders.nul").read_bytes() == os.fsencode(root) + b"/prj\0"
-    assert main(["discover", store, str(tmp_path / "map.csv")], spark) == "FOLDERS:1"
+
+    def run(*args):
+        return main([str(a) for a in args], spark)
+
+    assert run("init-store", store) == "CREATED" and run("init-store", store) == "CURRENT"
+    assert run("import-report", store, tmp_path / "r.txt") == "IMPORTED:5"
+    with pytest.raises(ValueError, match="read-only"):
+        run("scan", tmp_path / "snap", root)
+    named = ("--allow-rw-source", "--server", "s1", "--server-ip", "10.0.0.1", "--volume", "v1")
+    assert run("scan", tmp_path / "snap", root, *named) == "COMPLETE:2"
+    with pytest.raises(ValueError, match="inside a source root"):
+        run("scan", root / "snap", root, *named)
+    assert run("import-scan", store, tmp_path / "snap") == "IMPORTED:2"
+    assert run("import-scan", store, tmp_path / "snap") == "ALREADY_IMPORTED"
+    assert "s1" in run("volumes", store) and registry.reports(spark, store).first().report_id in run("reports", store)
+    out = tmp_path / "out"
+    assert run("compare", store, out) == "PATHS:2"
+    totals = json.loads((out / "summary.json").read_text())
+    assert totals["MATCH"] == 1 and totals["COPY_LIST_FILES"] == 1
+    assert (out / "missing_on_lto_absolute_paths.nul").read_bytes() == os.fsencode(root) + b"/prj/new.bin\0"
+    assert (out / "copy_lists_by_root" / "root_01_relative_paths.nul").read_bytes() == b"prj/new.bin\0"
+    assert (out / "copy_lists_by_root" / "roots.csv").read_text("utf-8-sig").splitlines()[1] == f"root_01,{root},root_01_relative_paths.txt,root_01_relative_paths.nul"
+    assert (out / "parse_issues.csv").exists() and (out / "scan_issues.csv").exists()
+    with pytest.raises(ValueError, match="inside a source root"):
+        run("deletable-folders", store, root / "del")
+    assert run("deletable-folders", store, tmp_path / "del") == "SAFE:0"
+    assert "BLOCKED" in (tmp_path / "del" / "blocked_folders.csv").read_text() and "prj  " in capsys.readouterr().out
+    assert run("discover", store, tmp_path / "map") == "FOLDERS:1"
+    # another address of a known server
+    assert run("scan", tmp_path / "snap2", root, "--allow-rw-source", "--server", "s1", "--server-ip", "10.0.0.2", "--volume", "v1") == "COMPLETE:2"
+    with pytest.raises(ValueError, match="server conflict"):
+        run("import-scan", store, tmp_path / "snap2")
+    # a report changed in place, and one in place of all earlier ones
+    (tmp_path / "r.txt").write_text(REPORT.replace("a.mov", "z.mov"))
+    with pytest.raises(ValueError, match="changed"):
+        run("import-report", store, tmp_path / "r.txt")
+    assert run("import-report", store, tmp_path / "r.txt", "--replace", "--units", "binary") == "IMPORTED:5"
+    assert registry.imported(spark, store, "manifest").count() == 5 and registry.reports(spark, store).first().units == "binary"
+    with pytest.raises(ValueError, match="unknown report"):
+        run("compare-catalog", store, "P", tmp_path / "cat", "--report", "none")
+
+
+def test_everything_in_one_command(spark, tmp_path):
+    from tallyforge.__main__ import main
+
+    (tmp_path / "src" / "prj").mkdir(parents=True)
+    (tmp_path / "src" / "prj" / "card1.png").write_bytes(b"x" * 2000)
+    (tmp_path / "r.txt").write_text(REPORT)
+    done = main(["all", str(tmp_path / "store"), str(tmp_path / "r.txt"), str(tmp_path / "out"), str(tmp_path / "src"), "--allow-rw-source"], spark)
+    assert done == "CREATED IMPORTED:5 COMPLETE:1 IMPORTED:1 PATHS:1 SAFE:1"
+    assert (tmp_path / "out" / "folders" / "deletable_folders.nul").read_bytes() == os.fsencode(tmp_path / "src") + b"/prj\0"
+
+
+def test_older_stores_are_read_and_migrated(spark, tmp_path):
+    store = str(tmp_path)
+    cols = "content_sha256 string, source string, kind string, units string, rows long, imported_at timestamp, schema_version int"
+    rows = [("b", "two", "catalog", None, 1, datetime(2024, 1, 2), 3), ("a", "one", "catalog", "", 1, datetime(2024, 1, 1), 2)]
+    spark.createDataFrame(rows, cols).write.parquet(f"{store}/registry")
+    assert {(r.source, r.units, r.seq) for r in registry.registry(spark, store).collect()} == {("one", "", 0), ("two", "", 0)}
+    assert registry.init_store(spark, store) == "MIGRATED" and registry.init_store(spark, store) == "CURRENT"
+    assert {(r.source, r.seq, r.schema_version) for r in registry.registry(spark, store).collect()} == {("one", 1, 4), ("two", 2, 4)}
+    registry.register(spark, store, [("catalog", 1, "c")], "three", replace=True)
+    assert [r.source for r in registry.registry(spark, store).collect()] == ["three"]
+    spark.createDataFrame([("d", "x", "catalog", "", 1, datetime(2024, 1, 1), 99, 1)], registry.REGISTRY).write.mode("append").parquet(f"{store}/registry")
+    with pytest.raises(ValueError, match="version 99"):
+        registry.registry(spark, store)
+
+
+def test_source_folders_and_mappings(spark, tmp_path):
+    raid = tmp_path / "raid"
+    for p in ("Show/SOURCE/DayOne", "Show/SOURCE/.hidden", "Show/source2", "Deep/a/Source/x", "SOURCE/SOURCE/y"):
+        (raid / p).mkdir(parents=True)
+    (raid / "Show" / "SOURCE" / "DayOne" / "clip.mov").write_bytes(b"123")
+    os.symlink(raid / "Show", raid / "link")
+    found, issues = roots.find_sources([str(raid)], 2)
+    assert [(s.project, s.path) for s in found] == [("Show", str(raid / "Show/SOURCE")), ("raid", str(raid / "SOURCE"))] and not issues
+    assert [s.project for s in roots.find_sources([str(raid)], 3)[0]] == ["a", "Show", "raid"]
+    assert [p for _, p in roots.top_folders(found)[0]] == [str(raid / "Show/SOURCE/DayOne"), str(raid / "SOURCE/SOURCE")]
+    assert roots.find_sources([str(tmp_path / "none")], 1)[1]
+    with pytest.raises(ValueError):
+        roots.find_sources([str(raid)], 0)
+
+    def mapping(*rows, columns=roots.MAPPING):
+        path = tmp_path / "m.csv"
+        path.write_text("\n".join([",".join(columns), *(",".join(r) for r in rows)]), encoding="utf-8-sig")
+        return str(path)
+
+    src, day = str(raid / "Show/SOURCE"), str(raid / "Show/SOURCE/DayOne")
+    good = ("Shoot 1", "shoot 1", "MATCHED", src, day)
+    assert roots.matched_roots(mapping(good, ("x", "x", "NOT_FOUND", "", ""))) == [roots.MappedRoot(src, day, "Shoot 1")]
+    for bad in (
+        [("a/b", "a/b", "MATCHED", src, day)], [("Shoot", "Shoot", "MATCHED", src, day)], [("s", "s", "MATCHED", "rel", day)], [("s", "s", "MATCHED", str(raid / "link/SOURCE/.."), day)], [("s", "s", "MATCHED", str(raid / "link"), day)],
+        [("s", "s", "MATCHED", src, "rel")], [("s", "s", "MATCHED", src, str(raid / "gone"))], [("s", "s", "MATCHED", str(raid), day)], [good, ("other", "other", "MATCHED", src, day)], [("x", "x", "AMBIGUOUS", src, day)],
+    ):
+        with pytest.raises((ValueError, NotADirectoryError)):
+            roots.matched_roots(mapping(*bad))
+    with pytest.raises(ValueError, match="physical_folder"):
+        roots.matched_roots(mapping(columns=roots.MAPPING[:-1]))
+    # a mapped scan: logical names in the keys, physical bytes as they are
+    from tallyforge.__main__ import main
+
+    assert main(["scan", str(tmp_path / "snap"), "--mapping", mapping(good), "--allow-rw-source"], spark) == "COMPLETE:1"
+    row = snapshot.read_snapshot(spark, str(tmp_path / "snap"))[0].first()
+    assert (row.source_root, bytes(row.relative_path_bytes), row.norm_path) == (src, b"DayOne/clip.mov", "shoot 1/clip.mov")
+
+
+def test_mounts(tmp_path):
+    table = tmp_path / "mounts"
+    table.write_text("none / ext4 rw 0 0\nd /mnt/my\\040disk xfs ro,noatime 0 0\ns /mnt/far nfs4 ro 0 0\n")
+    assert roots.mount_of("/mnt/my disk/a", str(table)) == ("xfs", {"ro", "noatime"})
+    assert roots.mount_of("/mnt/mine", str(table))[0] == "ext4"
+    roots.require_local("/mnt/my disk", str(table))
+    for path in ("/mnt/far/x",):
+        with pytest.raises(ValueError, match="nfs4"):
+            roots.require_local(path, str(table))
+    assert roots.require_read_only(["/mnt/my disk"], table=str(table)) == []
+    with pytest.raises(ValueError, match="read-only"):
+        roots.require_read_only(["/home"], table=str(table))
+    assert len(roots.require_read_only(["/home"], True, str(table))) == 1
+    assert roots.mount_of("/x", str(tmp_path / "none")) is None
+
+
+def test_tables_for_people():
+    assert sinks.text_table(["A", "B"], [["x" * 50, 1], ["y", None]]).splitlines() == ["A" + " " * 41 + "B", "-" * 40 + "  -", "x" * 37 + "...  1", "y"]
+    assert sinks.folder_labels([("/a/r", "p"), ("/b/r", "p"), ("/a/r", "q")]) == ["p [root_01]", "p [root_02]", "q"]
+    assert sinks.folder_labels([("/a", "p"), ("/b", "p")]) == ["p [a]", "p [b]"]
+
+
+def test_scans_spread_and_go_on_after_errors(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / "top" / f"d{i}").mkdir(parents=True)
+        for k in range(7):
+            (tmp_path / "top" / f"d{i}" / f"f{k}").write_bytes(b"1")
+    (tmp_path / "near").write_bytes(b"22")
+    monkeypatch.setattr(filesystem, "CHUNK", 3)
+    found = filesystem.scan(spark, [str(tmp_path)])
+    assert found.count() == 22 and filesystem.scan(spark, [str(tmp_path)], {str(tmp_path): [b"top"]}).count() == 21
+    assert filesystem.scan(spark, [str(tmp_path / "none")]).first().issue_type == "directory_read_error:FileNotFoundError"
 
 
 def test_unread_folders_are_never_safe(spark, tmp_path, monkeypatch):
@@ -201,16 +332,16 @@ def test_unread_folders_are_never_safe(spark, tmp_path, monkeypatch):
         found = filesystem.scan(spark, [str(root)])
         if read_error:
             found = found.unionByName(spark.createDataFrame([(str(root), None, None, None, b"prj/sub", "directory_read_error:PermissionError")], filesystem.FOUND))
-        monkeypatch.setattr(filesystem, "scan", lambda *_: found)
+        monkeypatch.setattr(filesystem, "scan", lambda *_, **__: found)
         cli.main(["import-report", store, str(report)], spark)
-        cli.main(["scan", snap, str(root)], spark)
+        cli.main(["scan", snap, str(root), "--allow-rw-source"], spark)
         if lost:
             read = snapshot.read_issues
             monkeypatch.setattr(snapshot, "read_issues", lambda *a: (lambda i, e: (i, e.withColumn("files", F.col("files") + lost)))(*read(*a)))
         cli.main(["import-scan", store, snap], spark)
         monkeypatch.undo()
         done = cli.main(["deletable-folders", store, str(tmp_path / name / "del")], spark)
-        return store, done, (tmp_path / name / "del" / "folder_report.csv").read_text(), (tmp_path / name / "del" / "safe_folders.nul").read_bytes()
+        return store, done, (tmp_path / name / "del" / "folder_size_comparison.csv").read_text(), (tmp_path / name / "del" / "deletable_folders.nul").read_bytes()
 
     assert run("clean", False)[1] == "SAFE:1"
     for name, args, reason in (("error", (True,), "DIRECTORY_READ_ERROR"), ("short", (False, 1), "INCOMPLETE_CLASSIFICATION")):

@@ -115,7 +115,7 @@ def test_discovery(spark):
     m = manifest(spark, [("one/a/x.mov", 10, 10, "T1"), ("one/b/y.mov", 20, 20, "T1"), ("one/b/y.mov", 20, 20, "T2"), ("two/a/p.mov", 1, 1, "T1"), ("two/a/q.mov", 2, 2, "T1"), ("far/k/only.mov", 7, 7, "T1"), ("far/k/more.mov", 8, 8, "T1"), ("none/z/z.mov", 3, 3, "T1"), ("soft/u/u.mov", None, None, "T1")])
     inv = [("/s/one", "one", "a/x.mov", 10), ("/s/one", "one", "b/y.mov", 20), ("/s/two", "two", "a/p.mov", 1), ("/t/two", "two", "a/q.mov", 2), ("/s/renamed", "renamed", "k/only.mov", 7), ("/s/renamed", "renamed", "k/more.mov", 8), ("/s/soft", "soft", "u/u.mov", 5)]
     i = spark.createDataFrame([(*r, True) for r in inv], "folder string, norm_name string, norm_below string, size_bytes long, readable boolean")
-    got = {r.norm_top_folder: r for r in discovery.mapping(m, i).collect()}
+    got = {r.lto_top_folder: r for r in discovery.mapping(m, i).collect()}
     assert {k: r.status for k, r in got.items()} == {"one": "MATCHED", "two": "AMBIGUOUS", "far": "MATCHED", "none": "NOT_FOUND", "soft": "NAME_MATCH_UNVERIFIED"}
     assert got["far"].physical_folder == "/s/renamed" and "fallback=yes" in got["far"].confidence_reason
     chosen = discovery.anchors(m, 1).where("norm_top_folder = 'one'").collect()
