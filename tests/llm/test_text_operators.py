@@ -322,7 +322,7 @@ def test_runs_of_other_lengths_are_no_copies(spark):
 BLANKS = st.lists(st.sampled_from(["", "", "", "a b", "c", "a b c d e f"]), max_size=14).map("\n".join)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(BLANKS, min_size=2, max_size=12), st.integers(2, 7))
 def test_line_runs_with_many_blank_lines(spark, texts, least):
     rows = list(enumerate(texts))
