@@ -424,6 +424,8 @@ def read_ac_first(bits: Bits, coef: np.ndarray, order: np.ndarray, count: np.nda
         r, s = rs >> 4, rs & 15
         if s.all():  # the usual case: a run, then a value
             at = k[who] + r
+            if at.max() > hi:
+                raise JpegError("run past the band")
             coef[order[who, block[who]], at] = signed(bits.take(who, s), s) << low
             k[who] = at + 1
         else:

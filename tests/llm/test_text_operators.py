@@ -231,6 +231,36 @@ def test_unlabelled_hosts_follow_domain_and_suffix(spark):
         assert abs(got[host].lower - (m - reputation.Z * (m * (1 - m) / 3) ** 0.5)) < 1e-9
 
 
+def test_rules_tie_pages_repeat_and_tables_may_be_empty(spark):
+    empty = spark.createDataFrame([], "page_id long, bad int")
+    pages = spark.createDataFrame([(1, "http://a.com/x/y"), (1, "http://a.com/x/y"), (None, "http://a.com/z"), (2, "http://h" + "h" * 50_000 + ".com/")], "page_id long, url string")
+    clash = pages.selectExpr("*", "1 AS host", "2 AS path", "3 AS n", "4 AS lower", "5 AS _hot", "6 AS _salt", "7 AS rule")
+    got = reputation.judge_urls(clash, empty, rules=(("com/x", "block"), ("a.com/", "allow"))).collect()
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in got), key=str) == sorted([(1, "a.com/", "allow"), (1, "a.com/", "allow"), (None, "a.com/", "allow"), (2, None, "allow")], key=str)
+    tied = reputation.judge_urls(pages.limit(1), empty, rules=(("com/x/", "block"), ("a.com/", "allow"))).first()
+    assert tied.rule == min(("com/x/", "a.com/"))  # equally long
+    assert reputation.judge_urls(pages.limit(0), empty).count() == 0
+    hot = spark.createDataFrame([(i, f"http://{'big' if i % 3 else f'h{i}'}.com/") for i in range(3000)], "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(3000)], "page_id long, bad int")
+    got = {r.host: r["count"] for r in reputation.judge_urls(hot, bad).where("verdict = 'block'").groupBy("host").count().collect()}
+    assert got == {"big.com": 2000}
+
+
+def test_given_suffixes_come_first(spark):
+    d = spark.createDataFrame([("a.b.school.k12.ma.us",), ("x.github.example",), ("b.co.uk",), ("k12.ma.us",)], "h string")
+    got = d.select(*reputation.domain_parts(F.col("h"), suffixes=("ma.us", "k12.ma.us", "github.example"))).collect()
+    assert [tuple(r) for r in got] == [("school.k12.ma.us", "k12.ma.us"), ("x.github.example", "github.example"), ("b.co.uk", "co.uk"), ("k12.ma.us", "k12.ma.us")]
+
+
+def test_extra_columns_change_nothing(spark):
+    rows = [(i, f"token = 'abcdef{i}' some words of text number {i % 3} here", f"s{i % 2}") for i in range(30)] + [(3, "x " * 60_000, None)]
+    plain = docs(spark, rows, "doc_id long, text string, source string")
+    names = ("h", "cell", "b", "k", "depth", "page", "key", "low", "trigram", "ask", "_s0", "digest", "cls", "n", "tokens", "_first", "_cls", "_text", "bucket", "s")
+    clash = plain.selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    for run in (lambda d: sharding.shard_by_hash(d, limit=500), secrets.find_secrets, jaccard.jaccard_components):
+        assert sorted(map(str, run(plain).collect())) == sorted(map(str, run(clash).collect()))
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
