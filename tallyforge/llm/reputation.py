@@ -10,14 +10,16 @@ bound of its prior.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hinted, lower_ascii, saved, table
+from .common import lower_ascii, saved, skew_join, table
 
 #: (rule, verdict): host, then the start of the path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Second-level labels that count as part of the suffix under a two-letter country.
+#: Second-level labels that count as part of the suffix under a two-letter country; others can be given.
 SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 Z, THRESHOLD, LEAST, MOST = 1.645, 0.5, 2.0, 1000.0
 
@@ -28,15 +30,23 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
 
 
-def domain_parts(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; a port is dropped, a numeric address is its own domain without a suffix."""
+def domain_parts(host: Column, second: Sequence[str] = SECOND, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; a port is dropped, a numeric address is its own domain without a suffix.
+
+    ``suffixes``: public suffixes of two labels or more, such as 'pvt.k12.ma.us'; the longest
+    that a host ends with goes before the rule for ``second`` labels under a country.
+    """
     name = F.regexp_replace(host, r":[0-9]*$", "")
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    country = (n >= 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, F.when(n >= 2, -2).otherwise(-1)).isin(*SECOND)
+    country = (n >= 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, F.when(n >= 2, -2).otherwise(-1)).isin(*second)
     numeric = name.rlike(r"^[0-9.]+$")
     suffix = F.when(numeric, "").otherwise(F.when(country, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)))
     domain = F.when(numeric, name).otherwise(F.when(country, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2)))
+    for own in sorted(suffixes, key=lambda x: (x.count("."), x)):  # the longest is asked first
+        labels_of = own.count(".") + 1
+        fits = ~numeric & ((name == own) | name.endswith("." + own))
+        suffix, domain = F.when(fits, own).otherwise(suffix), F.when(fits, F.substring_index(name, ".", -(labels_of + 1))).otherwise(domain)
     return domain, suffix
 
 
@@ -64,46 +74,48 @@ def strength(groups: DataFrame) -> Column:
     return F.least(F.greatest(kappa, F.lit(LEAST)), F.lit(MOST))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Of (host, bad 0/1): host, n, bad, mean, lower. A null outcome is not counted, but its host is judged.
+def host_reputation(outcomes: DataFrame, second: Sequence[str] = SECOND, suffixes: Sequence[str] = ()) -> DataFrame:
+    """Of (host, bad 0/1): host, rows, n, bad, mean, lower. A null outcome is not counted, but its host is judged.
 
     A host with n = 0 has its domain's mean, a domain without labels its suffix's, a suffix
     without labels the overall one. Three sums, each on the sums before; only per-host rows are joined.
     """
-    domain, suffix = domain_parts(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    domain, suffix = domain_parts(F.col("host"), second, suffixes)
+    hosts = outcomes.groupBy("host").agg(F.count("*").alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     hosts = saved(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    kh, kd, ks = (g.where("n > 0").agg(strength(g).alias(k)) for g, k in ((hosts, "kh"), (domains, "kd"), (suffixes, "ks")))
-    overall = hosts.where("n > 0").agg(((F.sum("bad") + 1).cast("double") / (F.sum("n") + 2).cast("double")).alias("overall"))
-    one = saved(overall.crossJoin(kh).crossJoin(kd).crossJoin(ks))  # one row
-    row = one.first()
-    if row["overall"] is None:
-        return hosts.select("host", "n", "bad", F.lit(0.5).alias("mean"), F.lit(0.0).alias("lower"))
-    overall, kh, kd, ks = (F.lit(float(row[c])) for c in ("overall", "kh", "kd", "ks"))
-    suffixes = suffixes.select("suffix", ((F.col("bad") + ks * overall) / (F.col("n") + ks)).alias("ms"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", ((F.col("bad") + kd * F.col("ms")) / (F.col("n") + kd)).alias("md"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    overall = hosts.where("n > 0").agg(((F.sum("bad") + 1).cast("double") / (F.sum("n") + 2).cast("double")).alias("overall")).first()[0]
+    if overall is None:
+        return hosts.select("host", "rows", "n", "bad", F.lit(0.5).alias("mean"), F.lit(0.0).alias("lower"))
+    kh, kd, ks = (F.lit(float(g.where("n > 0").agg(strength(g)).first()[0])) for g in (hosts, domains, tops))
+    overall = F.lit(float(overall))
+    tops = tops.select("suffix", ((F.col("bad") + ks * overall) / (F.col("n") + ks)).alias("ms"))
+    domains = domains.join(tops, "suffix").select("domain", "suffix", ((F.col("bad") + kd * F.col("ms")) / (F.col("n") + kd)).alias("md"))
     a, b = F.col("bad") + kh * F.col("md"), F.col("n") - F.col("bad") + kh * (1 - F.col("md"))
-    out = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "bad", a.alias("a"), b.alias("b"))
+    out = hosts.join(domains, ["domain", "suffix"]).select("host", "rows", "n", "bad", a.alias("a"), b.alias("b"))
     mean, s = F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b")
-    return out.select("host", "n", "bad", mean.alias("mean"), (mean - Z * F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))).alias("lower"))
+    return out.select("host", "rows", "n", "bad", mean.alias("mean"), (mean - Z * F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id: str = "page_id", url: str = "url", second: Sequence[str] = SECOND, suffixes: Sequence[str] = ()) -> DataFrame:
     """(page_id, host, path, rule, verdict, lower). ``outcomes``: (page_id, bad).
 
-    A rule's verdict stands; without one a page is blocked if its host's lower posterior bound
-    is above ``threshold``; a host without labels has the bound of its domain or suffix. Without
-    any label at all every bound is 0. Null urls have an empty host,
-    which is judged like any host. Repeated pages are judged each, their outcomes counted each.
+    A rule's verdict stands; of rules that fit the longest, of equally long ones the first in
+    code point order. Without one a page is blocked if its host's lower posterior bound is above
+    ``threshold``, not if it equals it; a host without labels has the bound of its domain or
+    suffix. Without any label at all every bound is 0. Null urls have an empty host, which is
+    judged like any host; very long urls are judged whole. Repeated pages are judged each, their
+    outcomes counted each; a page with several outcomes has the worst. Empty tables give no
+    rows; other columns, whatever their names, are ignored. Pages of very common hosts are dealt
+    over several tasks.
     """
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation = saved(host_reputation(parsed.join(known, "page_id", "left").select("host", "bad")))
+    reputation = saved(host_reputation(parsed.join(known, "page_id", "left").select("host", "bad"), second, suffixes))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = parsed.join(hinted(reputation.select("host", "lower")), "host", "left")
+    out = skew_join(parsed, reputation.select("host", "lower", F.col("rows").alias("n")), ["host"], ["page_id", "path"]).drop("n")  # every host has a row
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("lower") > threshold, "block").otherwise("allow")).alias("verdict"), "lower")
 
 
@@ -118,7 +130,7 @@ def _moments(level: str) -> str:
       SELECT CASE WHEN v > 0 AND sz > 0 THEN (spread - v * (k - 1)) / (v * sz) END AS rho FROM (
         SELECT p * (1 - p) AS v, k, sb2 - 2 * p * b + p * p * t AS spread, t - n2 / t - (k - 1) AS sz FROM (
           SELECT CAST(sum(n) AS DOUBLE) AS t, CAST(sum(bad) AS DOUBLE) AS b, CAST(sum(bad) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS k,
-                 sum(CAST(bad AS DOUBLE) * bad / n) AS sb2, sum(CAST(n AS DOUBLE) * n) AS n2 FROM {level})))"""
+                 sum(CAST(bad AS DOUBLE) * bad / n) AS sb2, sum(CAST(n AS DOUBLE) * n) AS n2 FROM {level} WHERE n > 0)))"""
 
 
 OP6_SQL = rf"""
@@ -126,14 +138,14 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 k AS (SELECT doc_id AS page_id, max(CASE quality WHEN 0 THEN 1 WHEN 1 THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-n AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM p JOIN k USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
+n AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM p LEFT JOIN k USING (page_id) GROUP BY host),
 l AS (SELECT *, string_split(name, '.') AS ls, regexp_matches(name, '^[0-9.]+$') AS numeric FROM n),
 t AS (SELECT *, CASE WHEN len(ls) >= 2 AND length(ls[-1]) = 2 AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS take FROM l),
 h AS (SELECT host, n, bad, CASE WHEN numeric THEN name ELSE array_to_string(ls[-least(len(ls), take + 1):], '.') END AS domain,
              CASE WHEN numeric THEN '' ELSE array_to_string(ls[-least(len(ls), take):], '.') END AS suffix FROM t),
 d AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM d GROUP BY ALL),
-kh AS ({_moments("h")}), kd AS ({_moments("d")}), ks AS ({_moments("s")}),
+kh AS ({_moments("h")}), kd AS ({_moments("d")}), ks AS ({_moments("s")}),  -- of groups with labels
 g AS (SELECT CAST(sum(bad) + 1 AS DOUBLE) / CAST(sum(n) + 2 AS DOUBLE) AS overall FROM h),
 ms AS (SELECT suffix, (bad + ks.kappa * overall) / (n + ks.kappa) AS m FROM s, ks, g),
 md AS (SELECT domain, d.suffix, (bad + kd.kappa * ms.m) / (n + kd.kappa) AS m FROM d JOIN ms USING (suffix), kd),
