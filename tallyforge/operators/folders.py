@@ -158,27 +158,33 @@ def _mid(kind: str) -> Column:
 def folder_report(facts: DataFrame) -> DataFrame:
     """The strict report, one row for each folder: decision, reasons, totals, midpoints, signed differences."""
     df, size, c = strict_decision(facts), F.col("total_size"), F.col
+    shown: dict[str, tuple[Column, bool]] = {}  # name -> (bytes, with sign)
     mid, result = _mid("matched"), interval_result(size, "matched_", "NO_MATCHED_LTO_PATHS")
     out = {
         "source_root": c("source_root"), "folder_name": c("top_raw").cast("string"), "absolute_path": absolute_path(),
         "decision": c("decision"), "blocking_reasons": c("blocking_reasons"),
-        "storage_file_count": c("file_count"), "storage_total_size_bytes": size, "storage_total_size_human": human_bytes(size),
+        "storage_file_count": c("file_count"), "storage_total_size_bytes": size, "storage_total_size_human": None,
         "lto_matched_path_count": c("matched_path_count"), "lto_known_size_file_count": c("matched_known_size_count"), "lto_unknown_size_file_count": c("matched_unknown_size_count"),
         "lto_conflicting_size_path_count": c("matched_conflicting_size_path_count"), "lto_additional_identical_tape_copy_count": c("matched_additional_identical_tape_copy_count"),
     }
     for name, value in (("min", c("matched_total_min_bytes")), ("max", c("matched_total_max_bytes")), ("midpoint", mid)):
         out[f"lto_total_size_{name}_bytes"] = value
     for name, value in (("min", c("matched_total_min_bytes")), ("max", c("matched_total_max_bytes")), ("midpoint", mid)):
-        out[f"lto_total_size_{name}_human"] = human_bytes(value)
+        out[f"lto_total_size_{name}_human"] = None
+        shown[f"lto_total_size_{name}_human"] = (value, False)
     out["lto_folder_manifest_file_count"] = c("manifest_path_count")
     for name in ("known_size_count", "unknown_size_count", "conflicting_size_path_count", "additional_identical_tape_copy_count", "total_min_bytes", "total_max_bytes"):
         out[f"lto_folder_manifest_{name}"] = c(f"manifest_{name}")
     for name in ("min", "max"):
-        out[f"lto_folder_manifest_total_{name}_human"] = human_bytes(c(f"manifest_total_{name}_bytes"))
+        out[f"lto_folder_manifest_total_{name}_human"] = None
+        shown[f"lto_folder_manifest_total_{name}_human"] = (c(f"manifest_total_{name}_bytes"), False)
     for prefix, ends in (("", {"min": c("matched_total_min_bytes"), "max": c("matched_total_max_bytes"), "midpoint": mid}), ("manifest_", {"min": c("manifest_total_min_bytes"), "max": c("manifest_total_max_bytes")})):
         for form in ("bytes", "human"):
             for name, value in ends.items():
-                out[f"storage_minus_lto_{prefix}{name}_{form}"] = size - value if form == "bytes" else signed_human_bytes(size - value)
+                field = f"storage_minus_lto_{prefix}{name}_{form}"
+                out[field] = size - value if form == "bytes" else None
+                if form == "human":
+                    shown[field] = (size - value, True)
         if not prefix:
             out["storage_size_within_lto_folder_interval"] = F.when(result == "WITHIN_INTERVAL", "YES").when(result == "OUTSIDE_INTERVAL", "NO").otherwise("")
             out["folder_size_interval_result"] = result
@@ -187,7 +193,14 @@ def folder_report(facts: DataFrame) -> DataFrame:
     out |= {"status": c("decision"), "top_folder": c("top_raw").cast("string"), "absolute_folder": absolute_path(), "file_count": c("file_count"), "verified_file_count": c("verified_count"), "total_size_bytes": size}
     out |= {n: c(n) for n in ("lto_copy_count", "lto_tapes", "classification_counts")}
     out["scan_issue_types"] = F.array_join("issue_types", " | ")
-    return df.select(*[v.alias(n) for n, v in out.items()])
+    shown["storage_total_size_human"] = (size, False)
+    # all texts by one expression each way: written out for every column they would pass the size that the JVM compiles
+    place: dict[str, Column] = {}
+    for text, with_sign in ((human_bytes, False), (signed_human_bytes, True)):
+        names = [n for n, (_, sign) in shown.items() if sign == with_sign]
+        df = df.withColumn(f"_text{int(with_sign)}", F.transform(F.array(*[shown[n][0] for n in names]), text))
+        place |= {n: F.col(f"_text{int(with_sign)}")[i] for i, n in enumerate(names)}
+    return df.select(*[(place[n] if v is None else v).alias(n) for n, v in out.items()])
 
 
 def simple_verdict(facts: DataFrame, percent: float = 0.1, most_bytes: int = 10_485_760) -> DataFrame:

@@ -128,18 +128,30 @@ def frames_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_table(spark, sf_dir).select("pdf", "line_no", lines.preceding_frames().alias("frames"))
 
 
-@query("casefold_nfc_keys")
+_CLEAN = "array_to_string(list_filter(string_split(replace({v}, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/')"
+
+
+# of the letters of these tables only the sharp s folds to something else than its lower case
+@query("casefold_nfc_keys", f"SELECT doc_id, sha256(replace(lower(nfc_normalize({_CLEAN.format(v='text')})), 'ß', 'ss')) AS key FROM documents")
 def casefold_nfc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(paths.normal_path(F.col("text")), 256).alias("key"))
 
 
-@query("non_utf8_keys")
+@query("non_utf8_keys", f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '__NON_UTF8_RAW_BYTES__/' || lower(hex(url)) || 'ff' ELSE lower({_CLEAN.format(v='url')}) END AS key, CASE WHEN page_id % 5 = 0 THEN url || '\\xff' ELSE url END AS display FROM pages")
 def non_utf8_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.col("url").cast("binary"), F.when(F.col("page_id") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
     return _table(spark, sf_dir, "pages").select("page_id", paths.raw_key(raw).alias("key"), paths.raw_display(raw).alias("display"))
 
 
-@query("parse_lines")
+@query(
+    "parse_lines",
+    """WITH li AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+    q AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p) AS seq FROM li WHERE p % 5 = 0),
+    e AS (SELECT s, 'clip_' || p || '.mov' AS f, '1.22 GB' AS shown, 1215000000 AS lo, 1224999999 AS hi, 'regular' AS kind, '' AS ident FROM li WHERE p % 5 <> 0
+      UNION ALL SELECT s, 'clip_' || p || '_0' || i || '.png', shown, lo, hi, kind, s || ':p1:seq' || seq FROM q, (VALUES (1, '2.5 MB', 2450000, 2549999, 'sequence_first'), (2, '', NULL, NULL, 'sequence_middle_size_unknown'), (3, '2.6 MB', 2550000, 2649999, 'sequence_last')) x(i, shown, lo, hi, kind))
+    SELECT CAST(s AS VARCHAR) AS source_pdf, CAST(1 AS INTEGER) AS source_page, CAST(s AS VARCHAR) AS project, 'T1' AS tape, 'prj/' || f AS relative_path, 'prj/' || f AS norm_path, 'prj' AS top_folder, 'prj' AS norm_top_folder, f AS filename, f AS norm_filename, shown AS reported_size,
+      CAST(lo AS BIGINT) AS size_min_bytes, CAST(hi AS BIGINT) AS size_max_bytes, CAST(CASE WHEN lo IS NULL THEN 0 ELSE 1 END AS INTEGER) AS size_known, kind AS entry_kind, ident AS sequence_id FROM e""",
+)
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each supplier: its parts as records, every fifth of them a sequence."""
     li = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
