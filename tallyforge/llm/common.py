@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import saved
+
+__all__ = ["saved", "table", "hinted", "skew_join", "fresh", "n_words", "lower_ascii", "slices", "trim", "WORD", "HOT", "SALTS"]
+
 #: White space of the word definition: blank and U+0009 to U+000D; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,22 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage in the shared checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Where it is unset, one is made if all
-    tasks run in this process (``local[n]``, as in tests); a cluster without it is an error, as
-    a folder of one machine would lose rows there.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-"))
-    return df.checkpoint(eager=True)
-
-
 def hinted(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """A broadcast hint if the (already saved) ``df`` has at most ``max_rows`` rows; else a plain join side."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
