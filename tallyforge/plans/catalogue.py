@@ -104,7 +104,8 @@ def sequence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda n: F.concat(F.lit("shot_"), F.when(F.length(n.cast("string")) >= 4, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0")), F.lit(".png"))
     # every third pair has one frame too many and cannot be expanded
     wrong = F.when(F.col("p_partkey") % 3 == 1, 1).otherwise(0)
-    names = lines.expanded_names(name(F.col("p_partkey")), name(F.col("p_partkey") + frames - 1), frames + wrong)
+    # shot_9999 to shot_10001 are three names as written, not shot_09999 and so on
+    names = lines.expanded_names(name(F.col("p_partkey")), name(F.col("p_partkey") + frames - 1), frames + wrong, F.lit(4))
     return _table(spark, sf_dir, "part").select("p_partkey", F.explode(names).alias("name"))
 
 

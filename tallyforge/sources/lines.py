@@ -255,13 +255,16 @@ def preceding_frames() -> Column:
     return F.last(F.when(text != "", text.cast("long")), ignorenulls=True).over(w)
 
 
-def expanded_names(first: Column, last: Column, frames: Column) -> Column:
-    """Native form for names whose only number differs: array of names, or null."""
+def expanded_names(first: Column, last: Column, frames: Column, width: Column | None = None) -> Column:
+    """Native form for names whose only number differs: array of names, or null.
+
+    Numbers have ``width`` digits at least; by default as many as the longer of the two.
+    """
     rx = r"^(\D*)(\d{1,18})(\D*)$"
     a, b = F.regexp_extract(first, rx, 2), F.regexp_extract(last, rx, 2)
     ok = first.rlike(rx) & last.rlike(rx) & (F.regexp_extract(first, rx, 1) == F.regexp_extract(last, rx, 1)) & (F.regexp_extract(first, rx, 3) == F.regexp_extract(last, rx, 3))
     lo, hi = a.try_cast("long"), b.try_cast("long")
     ok = ok & (hi - lo + 1 == frames) & (hi >= lo)
-    width = F.greatest(F.length(a), F.length(b))
+    width = F.greatest(F.length(a), F.length(b)) if width is None else width
     pad = lambda n: F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, F.lit("0")))
     return F.when(ok, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda n: F.concat(F.regexp_extract(first, rx, 1), pad(n), F.regexp_extract(first, rx, 3))))

@@ -31,6 +31,17 @@ def test_query(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
+def test_sequence_expand_where_digits_grow(spark, tmp_path):
+    """Pairs from 999 to 1000, 9999 to 10000 and 99999 to 100000."""
+    keys = [(k, s) for n in (1_000, 10_000, 100_000) for k in range(n - 5, n + 2) for s in (1, 4)]
+    spark.createDataFrame(keys, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.QUERIES["sequence_expand"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = c.execute(catalogue.SQL["sequence_expand"]).fetchall()
+    assert ("shot_9999.png" in {r[1] for r in want}) and rows(got.columns, got.collect()) == rows(["p_partkey", "name"], want)
+
+
 def test_rows_only_queries(spark):
     for name in sorted(set(catalogue.QUERIES) - set(catalogue.SQL)):
         assert catalogue.QUERIES[name](spark, SF).count() > 0
