@@ -13,8 +13,9 @@
    shingles shared with another component count. Classes below the count are finished.
 5. What remains after the rounds is joined exactly: a linked pair shares a shingle of its
    prefixes (rarest first), so classes joined by prefix shingles form families, and a trie
-   joins each family. Families too large for a task are dealt by prefix shingle, a class to
-   one block for each, and blocks too large for a task as all pairs of their parts.
+   joins each family. Families too large for a task are dealt as all pairs of their parts or,
+   where that meets fewer pairs, by prefix shingle, a class to one block for each; blocks too
+   large for a task are dealt as all pairs of their parts.
 No step emits the pairs of a group; blocks and buckets have a bounded size.
 """
 
@@ -523,19 +524,32 @@ def exact_blocks(todo: DataFrame, percent: int) -> DataFrame:
     """(key, cls, label, tokens): blocks in which every pair that may have a link meets.
 
     Linked pairs share a prefix shingle, so they are in one family: a component of the classes
-    joined by prefix shingles. A family of at most BLOCK sets is one block, its sets move once;
-    larger families are dealt by prefix shingle.
+    joined by prefix shingles. A family of at most BLOCK sets is one block, its sets move once.
+    Of larger families, those of texts with much in common meet in nearly every prefix shingle:
+    they are dealt as a whole, in parts that meet each other once, if that makes no more pairs
+    than the prefix shingles do; others are dealt by prefix shingle.
     """
     keys = saved(prefixes(todo, percent, sets=False))
     low = keys.groupBy("key").agg(F.min("cls").alias("b"))
     family = components(keys.join(low, "key").select(F.col("cls").alias("a"), "b")).withColumnRenamed("label", "family")
     rows = todo.join(family, "cls", "left").withColumn("family", F.coalesce("family", "cls"))
     sizes = saved(rows.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"))
+    large = sizes.where(F.col("size") > BLOCK)
     rows = rows.join(hinted(sizes, NAMES), "family")
-    small = rows.where(F.col("size") <= BLOCK).select(F.col("family").alias("key"), "cls", "label", "tokens")
-    if sizes.where(F.col("size") > BLOCK).isEmpty():
-        return small
-    return small.unionByName(in_parts(prefixes(rows.where(F.col("size") > BLOCK), percent), exact=True).select("key", "cls", "label", "tokens"))
+    blocks = rows.where(F.col("size") <= BLOCK).select(F.col("family").alias("key"), "cls", "label", "tokens")
+    if large.isEmpty():
+        return blocks
+    met = keys.join(family, "cls", "left").groupBy(F.coalesce("family", "cls").alias("family"), "key").agg(F.count("*").alias("n"))
+    met = met.groupBy("family").agg(F.sum(F.col("n") * F.col("n")).alias("met"))
+    large = saved(large.join(met, "family").select("family", (F.col("size") * F.col("size") <= F.col("met")).alias("whole")))
+    kinds = {r["whole"] for r in large.select("whole").distinct().collect()}
+    rows = rows.join(hinted(large, NAMES), "family")
+    if True in kinds:
+        whole = rows.where("whole").select(F.col("family").alias("key"), "cls", "label", "tokens")
+        blocks = blocks.unionByName(in_parts(whole, exact=True).select("key", "cls", "label", "tokens"))
+    if False in kinds:
+        blocks = blocks.unionByName(in_parts(prefixes(rows.where(~F.col("whole")), percent), exact=True).select("key", "cls", "label", "tokens"))
+    return blocks
 
 
 def release(spark: SparkSession) -> None:

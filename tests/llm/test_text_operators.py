@@ -146,6 +146,26 @@ def test_jaccard_components(spark, rounds):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+def test_jaccard_dense_families_are_dealt_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    dense = [np.sort(rng.choice(common, 80, replace=False)) for _ in range(60)]  # much in common, few links
+    long = rng.integers(0, 1 << 63, 4_040).astype(np.uint64)
+    chain = [np.sort(long[10 * i : 10 * i + 40]) for i in range(400)]  # only neighbours have anything in common
+    for sets, most in ((dense, 60 * 6), (chain, 400 * 40 // 2)):
+        rows = [(i, len(x), bytearray(x.tobytes()), i) for i, x in enumerate(sets)]
+        todo = jaccard.unfinished(spark.createDataFrame(rows, "cls long, n long, tokens binary, label long"), 10_000, 60).cache()
+        blocks = [(r.key, r.cls) for r in jaccard.exact_blocks(todo, 60).select("key", "cls").collect()]
+        assert len(blocks) <= most  # sets that move
+        by_key = {}
+        for key, i in blocks:
+            by_key.setdefault(key, set()).add(i)
+        met = {(a, b) for x in by_key.values() for a in x for b in x if a < b}
+        want = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 60 * (len(sets[a]) + len(sets[b]) - n)}
+        assert want and {(b, a) for a, b in want} <= met
+
+
 def test_jaccard_large_blocks_meet(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "ONE_TASK", 0)
