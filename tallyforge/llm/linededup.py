@@ -4,10 +4,12 @@ Every line is an id, every document a sequence of ids that ends with the documen
 single lines double to ranks of 2, 4, 8... lines: the pair (rank of the first half, rank of
 the second half) is sorted over all documents, and its place in that order is the new rank.
 Suffixes whose rank nobody shares leave at once, so only repeated lines are ever sorted. A
-suffix needs depth only up to its shortest run of ``min_words`` words: suffixes that agree
-to that depth form an interval of the suffix array whose longest common prefix reaches it.
-The first suffix of an interval, by document and line, is the original; the runs of the
-others are later copies. Overlapping runs merge into maximal repeated runs, which are deleted.
+suffix needs depth only up to its shortest run of ``min_words`` words. The suffixes that
+need it are sorted to that depth, ties by document and line: that part of the suffix array is
+walked in order, and each suffix is held against the one before. Where their longest common
+prefix reaches the depth they are in one interval. The first suffix of an interval is the
+original; the runs of the others are later copies. Overlapping runs merge into maximal
+repeated runs, which are deleted.
 """
 
 from __future__ import annotations
@@ -83,6 +85,40 @@ def dense_ranks(pairs: DataFrame) -> DataFrame:
     return placed.select("c", "c2", "n", rank.alias("rank"))
 
 
+def later_copies(here: DataFrame) -> DataFrame:
+    """Of (doc, digest, line, need, c, c2): doc, digest, line and need of all but the first suffix of each interval.
+
+    c ranks the first lines of a run, c2 its last lines; together they cover ``need`` lines. So
+    in the order of (c, need, c2), the suffix array, neighbours that agree in the three have a
+    common prefix of ``need`` lines at least. Equal suffixes may lie in several tasks: whether
+    a task's first suffix goes on with an interval is told by the last of the task before.
+    """
+    keys, place = ["c", "need", "c2"], ["doc", "digest", "line"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task, last = TaskContext.get().partitionId(), None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            now = pdf[keys].to_numpy(np.int64)
+            reaches = np.concatenate([[last is None or (now[0] == last[keys].to_numpy(np.int64)[0]).all()], (now[1:] == now[:-1]).all(axis=1)])
+            yield pdf[reaches].assign(task=task, kind=np.where((np.arange(len(pdf)) == 0) & (last is None), 1, 0)[reaches])
+            last = pdf.iloc[-1:]
+        if last is not None:
+            yield last.assign(task=task, kind=2)
+
+    array = here.select(*place, *keys).repartitionByRange(*keys, *place).sortWithinPartitions(*keys, *place)
+    found = saved(array.mapInPandas(run, "doc long, digest long, line int, c long, need int, c2 long, task int, kind int"))
+    goes_on, before = [], None
+    for r in sorted(found.where("kind > 0").select("task", "kind", *keys).collect()):  # two of each task
+        if r["kind"] == 1 and r[2:] == before:
+            goes_on.append(r["task"])
+        before = r[2:]
+    return found.where((F.col("kind") == 0) | ((F.col("kind") == 1) & F.col("task").isin(goes_on))).select(*place, "need")
+
+
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """(doc, digest, first, last): maximal runs of lines that are later copies; ``last`` is exclusive."""
     place = ["doc", "digest", "line"]
@@ -97,11 +133,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         else:
             here = here.withColumn("line2", F.col("line") + F.col("need") - depth).join(other, ["doc", "digest", "line2"])
         here = saved(here.select(*place, "need", "c", "c2"))
-        # runs of one length that agree in their first and in their last ``depth`` lines are equal
-        run = ["c", "c2", "need"]
-        first = saved(here.groupBy(*run).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1"))
-        copies = skew_join(here, first, run, place).where(F.struct(*place) != F.col("first"))
-        found.append(saved(copies.select("doc", "digest", F.col("line").alias("first"), (F.col("line") + F.col("need")).alias("last"))))
+        found.append(saved(later_copies(here).select("doc", "digest", F.col("line").alias("first"), (F.col("line") + F.col("need")).alias("last"))))
         most = cur.agg(F.max("need")).first()[0]
         if most is None or most < 2 * depth:
             break

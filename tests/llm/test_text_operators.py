@@ -351,6 +351,27 @@ def brute_lines(rows, least):
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in rows}
 
 
+def test_line_intervals_over_tasks(spark, monkeypatch):
+    """Neighbours in the suffix array are compared, also the last of a task and the first of the next."""
+    rng = np.random.default_rng(3)
+    rows = [(int(d), 7, int(line), int(c), int(need), int(c2)) for d, line, c, need, c2 in {(d, line, *k) for d in range(300) for line in range(2) for k in [[(5, 1, 0), (5, 1, 9), (5, 2, 9), (-4, 1, 0), (d + 100, 1, 0)][rng.integers(0, 5)]]}]
+    here = spark.createDataFrame(rows, "doc long, digest long, line int, c long, need int, c2 long").repartition(7)
+    seen = []
+    monkeypatch.setattr(linededup, "saved", lambda df: seen.append(common.saved(df)) or seen[-1])
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        got = sorted((r.doc, r.line) for r in linededup.later_copies(here).collect())
+    finally:
+        spark.conf.unset(merged)
+    runs = defaultdict(list)
+    for d, _, line, *key in rows:
+        runs[tuple(key)].append((d, line))
+    assert got == sorted(x for v in runs.values() for x in sorted(v)[1:])
+    assert seen[0].select("task").distinct().count() > 1
+    assert linededup.later_copies(here.limit(0)).count() == 0
+
+
 def test_line_runs(spark):
     rng = np.random.default_rng(5)
     pool = [" ".join(f"w{x}" for x in rng.integers(0, 9, int(rng.integers(0, 5)))) for _ in range(25)]
